@@ -6,11 +6,15 @@ most k shingles, so fewer than n parts can differ, and they share the content of
 names band, part and content. This is the scheme's case of one-part subsets, which gives the fewest
 signatures.
 
-Empty parts would match for very many sets that share nothing. A set therefore signs only the parts
-that it fills. That suffices when it fills more than k parts. A set that doesn't ("weak") signs the
-next level as well, with another hash of the domain; at the last level weak sets sign empty parts
-too. Of two similar sets, take the first level at which either is strong: both sign there, and one of
-the strong set's filled parts agrees.
+Empty parts, and parts of one common shingle, would match for very many sets that share little else.
+A set therefore signs only parts of two shingles or more. That suffices when it has more than k such
+parts. A set that hasn't ("weak") signs the next level as well, with another hash of the domain; at
+the last level weak sets sign all parts. Of two similar sets, take the first level at which either
+is strong: both sign there, and one of the strong set's signed parts agrees.
+
+Pairs that share a signature are held against odd sketches first (Mitzenmacher, Pagh, Pham, 2014): a
+bit for the parity of each hash bin. Every shingle in which two sets differ flips one bit, so sketches
+that differ in more bits than a similar pair may in shingles rule the pair out for certain.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.components import connected_components
@@ -73,7 +77,7 @@ class Bands:
     def parts(self, band: int) -> int:
         """Some more than the k + 1 that must be, so that few sets are weak; 0 if similar means equal."""
         k = self.differ(self.top(band), self.top(band))
-        return k + 2 + k // 12 if k else 0
+        return k + 2 + k // 8 if k else 0
 
 
 def signatures(hashes: np.ndarray, bands: Bands) -> list[np.ndarray]:
@@ -90,19 +94,42 @@ def signatures(hashes: np.ndarray, bands: Bands) -> list[np.ndarray]:
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             content, where = np.add.reduceat(mix(spread ^ U64(0x632BE59BD9B4E019)), starts), part[starts]
             salt = mix(np.array([band * LEVELS + level], U64))
-            found.append(mix(content ^ mix(where + salt)))
-            if len(where) > k:
-                break
-            if level == LEVELS - 1:
+            signed = np.diff(np.append(starts, len(spread))) > 1
+            strong = signed.sum() > k
+            if not strong and level == LEVELS - 1:
                 found.append(mix(mix(np.setdiff1d(np.arange(n, dtype=U64), where) + salt) + U64(1)))
+                signed[:] = True
+            found.append(mix(content[signed] ^ mix(where[signed] + salt)))
+            if strong:
+                break
     return found
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of hash bins, at least as many as the set has members, as 64-bit words."""
+    bins = max(64, 1 << int(len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((mix(hashes) & U64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ; a sketch of twice as many bins is folded first."""
+
+    def fold(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def bits(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+    return F.when(F.size(a) == F.size(b), bits(a, b)).when(F.size(a) > F.size(b), bits(fold(a), b)).otherwise(bits(a, fold(b)))
+
+
 def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(len(s), *set_keys(s)) for s in shingle_sets(batch.column(1), width)]
-        n, k1, k2 = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(k1), pa.array(k2)], ["id", "n", "k1", "k2"])
+        rows = [(len(s), *set_keys(s), odd_sketch(s)) for s in shingle_sets(batch.column(1), width)]
+        *numbers, sketches = zip(*rows) if rows else ((),) * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array(sketches, pa.list_(pa.int64()))], ["id", "n", "k1", "k2", "sketch"])
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -208,9 +235,9 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     """
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = stored(docs.mapInArrow(partial(_keys, width=width), "id long, n long, k1 long, k2 long"))
+    keys = stored(docs.mapInArrow(partial(_keys, width=width), "id long, n long, k1 long, k2 long, sketch array<long>"))
     nodes = keys.where("id is not null and n > 0")
-    classes = stored(nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
+    classes = stored(nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     shared = (
         docs.where("id is not null").select("text")
         .mapInArrow(partial(_signature_rows, width=width, percent=percent), "sig long, k1 long")
@@ -227,11 +254,15 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     found = connected_components(links, "id", "hub")
 
     # Sets of one bucket that the first links don't join: each such pair is compared.
-    label = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
+    sketches = classes.select("rep", "n", "sketch")
+    label = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(sketches, "rep").withColumn("component", F.coalesce("component", "rep"))
     mixed = label.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
     left = stored(label.join(mixed, "sig"))
-    right = left.select("sig", F.col("rep").alias("hub"), F.col("component").alias("other"))
-    rest = left.join(right, "sig").where("other < component").select(F.col("rep").alias("id"), "hub").distinct()
+    right = left.select("sig", *(F.col(c).alias(f"{c}_") for c in ("rep", "component", "n", "sketch")))
+    sizes = percent * F.greatest("n", "n_") <= 100 * F.least("n", "n_")
+    bound = ((F.col("n") + F.col("n_")) * (100 - percent) / (100 + percent)).cast("int")
+    near = left.join(right, "sig").where((F.col("component_") < F.col("component")) & sizes & (_differ(F.col("sketch"), F.col("sketch_")) <= bound))
+    rest = near.select(F.col("rep").alias("id"), F.col("rep_").alias("hub")).distinct()
     tested = first.unionByName(first.select(F.col("hub").alias("id"), F.col("id").alias("hub")))
     more = _verified(docs, rest.join(tested, ["id", "hub"], "left_anti"), width, percent)
 
