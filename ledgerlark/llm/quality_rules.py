@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import bounded_batches, stored
@@ -27,7 +27,7 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 FEATURES = ("size", "word_length", "symbols", "dup_lines", "repeats")
 #: Least standard deviation of each feature: a stratum whose bulk is all alike must not reject
 #: what differs from it by little. In the units of ``_features``.
-FLOORS = (1.0, 0.15, 0.05, 0.1, 0.15)
+FLOORS = (1.0, 0.15, 0.05, 0.15, 0.2)
 #: Median of the chi-square distribution with five degrees of freedom.
 CHI2_5_MEDIAN = 4.35146
 
@@ -159,8 +159,7 @@ def quality_verdicts(documents: DataFrame, text_col: str = "text", lang_col: str
     group, lang = F.to_json(F.struct("_lang", "_source")), F.to_json(F.struct("_lang"))
     sized = stored(stats.where("n_words > 0").groupBy("_lang", "_source").count())
     small = F.col("count") < least_stratum
-    by_lang = sized.where(small).groupBy("_lang").agg(F.sum("count").alias("of_lang"))
-    level = sized.join(by_lang, sized["_lang"].eqNullSafe(by_lang["_lang"]), "left").select(sized["_lang"], sized["_source"], "count", "of_lang")
+    level = sized.withColumn("of_lang", F.sum(F.when(small, F.col("count"))).over(Window.partitionBy("_lang")))
     stratum = F.when(~small, group).when(F.col("of_lang") >= least_stratum, lang).otherwise(F.lit("all"))
     level = stored(level.select(F.col("_lang").alias("g_lang"), F.col("_source").alias("g_source"), "count", stratum.alias("stratum")))
     judged = level.groupBy("stratum").agg(F.sum("count").alias("of_stratum")).where(F.col("of_stratum") >= least_stratum)
