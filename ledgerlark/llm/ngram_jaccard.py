@@ -203,6 +203,15 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["id", "hub"])
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (id, hub) that sizes and sketches don't rule out."""
+    other = sketches.select(F.col("id").alias("hub"), F.col("n").alias("n_"), F.col("sketch").alias("sketch_"))
+    both = pairs.join(sketches, "id").join(other, "hub")
+    sizes = percent * F.greatest("n", "n_") <= 100 * F.least("n", "n_")
+    bound = ((F.col("n") + F.col("n_")) * (100 - percent) / (100 + percent)).cast("int")
+    return both.where(sizes & (_differ(F.col("sketch"), F.col("sketch_")) <= bound)).select("id", "hub").distinct()
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (id, hub) that are similar. The hub's text goes once to each task that holds members
     of it: a hub with very many members is dealt over several."""
@@ -247,24 +256,22 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     clash = classes.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1").select(F.col("k1").alias("sig"), "k1")
     buckets = stored(shared.unionByName(clash).join(classes.select("k1", "rep"), "k1").select("sig", "rep").distinct())
 
+    sketches = classes.select(F.col("rep").alias("id"), "n", "sketch")
     hubs = buckets.groupBy("sig").agg(F.min("rep").alias("hub"))
     first = buckets.join(hubs, "sig").where("hub < rep").groupBy("rep").agg(F.min("hub").alias("hub")).select(F.col("rep").alias("id"), "hub")
     first = stored(first)
-    links = _verified(docs, first, width, percent)
+    links = _verified(docs, _possible(first, sketches, percent), width, percent)
     found = connected_components(links, "id", "hub")
 
     # Sets of one bucket that the first links don't join: each such pair is compared.
-    sketches = classes.select("rep", "n", "sketch")
-    label = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(sketches, "rep").withColumn("component", F.coalesce("component", "rep"))
+    label = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = label.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
     left = stored(label.join(mixed, "sig"))
-    right = left.select("sig", *(F.col(c).alias(f"{c}_") for c in ("rep", "component", "n", "sketch")))
-    sizes = percent * F.greatest("n", "n_") <= 100 * F.least("n", "n_")
-    bound = ((F.col("n") + F.col("n_")) * (100 - percent) / (100 + percent)).cast("int")
-    near = left.join(right, "sig").where((F.col("component_") < F.col("component")) & sizes & (_differ(F.col("sketch"), F.col("sketch_")) <= bound))
-    rest = near.select(F.col("rep").alias("id"), F.col("rep_").alias("hub")).distinct()
+    right = left.select("sig", F.col("rep").alias("hub"), F.col("component").alias("other"))
+    rest = left.join(right, "sig").where("other < component").select(F.col("rep").alias("id"), "hub").distinct()
     tested = first.unionByName(first.select(F.col("hub").alias("id"), F.col("id").alias("hub")))
-    more = _verified(docs, rest.join(tested, ["id", "hub"], "left_anti"), width, percent)
+    rest = rest.join(tested, ["id", "hub"], "left_anti")
+    more = _verified(docs, _possible(rest, sketches, percent), width, percent)
 
     twice = nodes.groupBy("id", "k1", "k2").count().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     same = nodes.join(twice, "id").join(classes, ["k1", "k2"]).select("id", F.col("rep").alias("hub"))
