@@ -4,19 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm.embedding_dedup import embedding_near_duplicates
 from ledgerlark.llm.line_dedup import line_dedup
 from ledgerlark.llm.ngram_jaccard import ngram_jaccard_components
+from ledgerlark.llm.packing import best_fit_packing
 from ledgerlark.llm.quality_rules import quality_verdicts
 from ledgerlark.llm.substring_dedup import substring_dedup
+from ledgerlark.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +50,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op5_quality_rules, op6_substring_dedup, op8_line_dedup, op9_embedding_near_dedup, op10_ngram_jaccard_join)
+    for f in (op1_best_fit_packing, op4_token_counts, op5_quality_rules, op6_substring_dedup, op8_line_dedup, op9_embedding_near_dedup, op10_ngram_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {}
