@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlark.llm.byte_bpe import round_trip
+from ledgerlark.llm.chat_format import conversation_calls, link_tool_calls
 from ledgerlark.llm.embedding_dedup import embedding_near_duplicates
 from ledgerlark.llm.line_dedup import line_dedup
 from ledgerlark.llm.ngram_jaccard import ngram_jaccard_components
@@ -14,6 +16,10 @@ from ledgerlark.llm.packing import best_fit_packing
 from ledgerlark.llm.quality_rules import quality_verdicts
 from ledgerlark.llm.substring_dedup import substring_dedup
 from ledgerlark.llm.token_counts import token_counts
+from ledgerlark.llm.url_filters import url_verdicts
+
+#: The rules of op7: verdict, host, path.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +30,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(*conversation_calls(_table(spark, sf_dir, "conversations")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,6 +50,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +68,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op4_token_counts, op5_quality_rules, op6_substring_dedup, op8_line_dedup, op9_embedding_near_dedup, op10_ngram_jaccard_join)
+    for f in (
+        op1_best_fit_packing, op2_byte_bpe_round_trip, op3_chat_formatting, op4_token_counts, op5_quality_rules, op6_substring_dedup, op7_url_filters,
+        op8_line_dedup, op9_embedding_near_dedup, op10_ngram_jaccard_join,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
