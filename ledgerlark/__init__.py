@@ -1,0 +1 @@
+"""Analytics over append-only observation journals: DataFrame in, DataFrame out."""
