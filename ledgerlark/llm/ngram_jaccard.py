@@ -32,6 +32,8 @@ from ledgerlark.llm.storage import BROADCAST_ROWS, bounded_batches, stored
 from ledgerlark.llm.text_arrays import LOWER, U64, mix, span_hashes, text_chunks, window_hashes, words
 
 LEVELS = 6
+#: 64-bit words of the short sketch. It rules out unlike sets of up to some 64 * SHORT * 2 shingles.
+SHORT = 8
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -112,6 +114,12 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def short_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of a fixed number of bins, for tests inside the join of buckets."""
+    odd = np.bincount((mix(hashes) & U64(64 * SHORT - 1)).astype(np.int64), minlength=64 * SHORT) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _differ(a: Column, b: Column) -> Column:
     """Bits in which two sketches differ; a sketch of twice as many bins is folded first."""
 
@@ -127,9 +135,10 @@ def _differ(a: Column, b: Column) -> Column:
 
 def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(len(s), *set_keys(s), odd_sketch(s)) for s in shingle_sets(batch.column(1), width)]
-        *numbers, sketches = zip(*rows) if rows else ((),) * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array(sketches, pa.list_(pa.int64()))], ["id", "n", "k1", "k2", "sketch"])
+        rows = [(len(s), *set_keys(s), odd_sketch(s), short_sketch(s)) for s in shingle_sets(batch.column(1), width)]
+        *numbers, sketches, short = zip(*rows) if rows else ((),) * 5
+        words_ = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array(sketches, words_), pa.array(short, words_)], ["id", "n", "k1", "k2", "sketch", "short"])
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -203,13 +212,21 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["id", "hub"])
 
 
+def _sizes(percent: int) -> Column:
+    """Whether sets of n and n_ members can be similar."""
+    return percent * F.greatest("n", "n_") <= 100 * F.least("n", "n_")
+
+
+def _bound(percent: int) -> Column:
+    """Most members in which similar sets of n and n_ members differ."""
+    return ((F.col("n") + F.col("n_")) * (100 - percent) / (100 + percent)).cast("int")
+
+
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (id, hub) that sizes and sketches don't rule out."""
     other = sketches.select(F.col("id").alias("hub"), F.col("n").alias("n_"), F.col("sketch").alias("sketch_"))
     both = pairs.join(sketches, "id").join(other, "hub")
-    sizes = percent * F.greatest("n", "n_") <= 100 * F.least("n", "n_")
-    bound = ((F.col("n") + F.col("n_")) * (100 - percent) / (100 + percent)).cast("int")
-    return both.where(sizes & (_differ(F.col("sketch"), F.col("sketch_")) <= bound)).select("id", "hub").distinct()
+    return both.where(_sizes(percent) & (_differ(F.col("sketch"), F.col("sketch_")) <= _bound(percent))).select("id", "hub").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -244,9 +261,9 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     """
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = stored(docs.mapInArrow(partial(_keys, width=width), "id long, n long, k1 long, k2 long, sketch array<long>"))
+    keys = stored(docs.mapInArrow(partial(_keys, width=width), "id long, n long, k1 long, k2 long, sketch array<long>, short array<long>"))
     nodes = keys.where("id is not null and n > 0")
-    classes = stored(nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = stored(nodes.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short")))
     shared = (
         docs.where("id is not null").select("text")
         .mapInArrow(partial(_signature_rows, width=width, percent=percent), "sig long, k1 long")
@@ -266,9 +283,13 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     # Sets of one bucket that the first links don't join: each such pair is compared.
     label = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = label.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    left = stored(label.join(mixed, "sig"))
-    right = left.select("sig", F.col("rep").alias("hub"), F.col("component").alias("other"))
-    rest = left.join(right, "sig").where("other < component").select(F.col("rep").alias("id"), "hub").distinct()
+    parts = [f"s{i}" for i in range(SHORT)]
+    short = classes.select("rep", "n", *(F.col("short")[i].alias(c) for i, c in enumerate(parts)))
+    left = stored(label.join(mixed, "sig").join(short, "rep"))
+    right = left.select("sig", F.col("rep").alias("hub"), F.col("component").alias("other"), F.col("n").alias("n_"), *(F.col(c).alias(f"{c}_") for c in parts))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in parts), F.lit(0))
+    near = (F.col("other") < F.col("component")) & _sizes(percent) & (apart <= _bound(percent))
+    rest = left.alias("l").join(right, (F.col("l.sig") == right["sig"]) & near).select(F.col("rep").alias("id"), "hub").distinct()
     tested = first.unionByName(first.select(F.col("hub").alias("id"), F.col("id").alias("hub")))
     rest = rest.join(tested, ["id", "hub"], "left_anti")
     more = _verified(docs, _possible(rest, sketches, percent), width, percent)
