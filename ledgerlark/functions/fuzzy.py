@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from ledgerlark.functions.text import LETTER_FOLDS
 
@@ -48,13 +49,13 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, indel_ratio(both, whole_left), indel_ratio(both, whole_right)) if both else best
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def title_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """The lower of set and sort ratio of two normalised titles, rounded half to even."""
     return pd.Series([None if a is None or b is None else round(min(token_set_ratio(a, b), token_sort_ratio(a, b))) for a, b in zip(left, right)], dtype="Int32")
 
 
-@F.pandas_udf("struct<exact:boolean,best:int,matches:boolean>")
+@F.pandas_udf(StructType([StructField("exact", BooleanType()), StructField("best", IntegerType()), StructField("matches", BooleanType())]))
 def author_scores(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """Of two lists of (full, substantial): whether a full name is in both, the best set ratio, and whether two people match (90 by both ratios)."""
     rows = []
@@ -67,7 +68,7 @@ def author_scores(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["exact", "best", "matches"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exact_fold(text: pd.Series) -> pd.Series:
     """Fold by Unicode's compatibility decomposition, for alphabets that the built-in fold doesn't cover."""
 
