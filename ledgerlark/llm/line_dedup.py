@@ -36,7 +36,8 @@ def chunk_bounds(hashes: np.ndarray, shape: Shape) -> np.ndarray:
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (without the newline) of all lines of a chunk, and each row's first line."""
+    """Starts and ends (without the newline) of all lines of a chunk, and each row's first line. What
+    follows a row's last newline is no line if it is empty."""
     breaks = np.flatnonzero(data == 10)
     rows = np.searchsorted(offsets, breaks, "right") - 1
     starts = np.concatenate([offsets[:-1], breaks + 1])
@@ -46,8 +47,12 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts = starts[order]
     ends = np.empty_like(starts)
     ends[:-1] = starts[1:] - 1
-    ends[first[1:] - 1] = offsets[1:]
-    return starts, ends, first
+    last = first[1:] - 1
+    ends[last] = offsets[1:]
+    empty = starts[last] == ends[last]
+    kept = np.ones(len(starts), bool)
+    kept[last[empty]] = False
+    return starts[kept], ends[kept], np.concatenate([[0], np.cumsum(counts - empty)])
 
 
 def _digests(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
@@ -81,7 +86,7 @@ def chunk_spans(text: str, shape: Shape) -> list[tuple[int, int]]:
     data = text.encode()
     starts, ends, _ = _lines(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
     bounds = chunk_bounds(span_hashes(np.frombuffer(data, np.uint8), starts, ends), shape)
-    return [(lines[a][0], lines[b - 1][1]) for a, b in zip(bounds, [*bounds[1:], len(lines)])]
+    return [(lines[a][0], lines[b - 1][1]) for a, b in zip(bounds, [*bounds[1:], len(starts)])]
 
 
 def _chunk_texts(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:

@@ -16,25 +16,25 @@ from pyspark.sql import functions as F
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 
-#: A small labelled table: names of hosts that a crawl should leave out, and of ones it may keep.
-BLOCKED_NAMES = (
-    "cheap-pills", "discount-pills", "pills-online", "pharma-deals", "viagra-shop", "free-bets", "best-bets", "bets-today", "casino-win",
-    "online-casino", "casino-bonus", "poker-cash", "slots-win", "jackpot-spin", "adult-x", "adult-cams", "xxx-tube", "hot-dates", "spam-farm",
-    "link-farm", "seo-farm", "content-farm", "ads-track", "click-track", "ad-server", "popup-ads", "track-pixel", "payday-loans", "quick-cash",
-    "win-prizes", "replica-watches", "fake-bags", "crack-keygen", "warez-free", "torrent-movies", "malware-kit", "phish-login",
-)
-ALLOWED_NAMES = (
-    "library", "archive", "museum", "science", "history", "university", "college", "school", "research", "journal", "news", "weather", "garden",
-    "kitchen", "recipes", "travel", "maps", "music", "theatre", "cinema", "novels", "poetry", "grammar", "physics", "chemistry", "biology",
-    "medicine", "hospital", "council", "parliament", "court", "statistics", "census", "railway", "harbour", "farming", "forest", "mountain",
-    "astronomy", "software", "python", "compiler", "tutorial", "forum", "gallery", "painting", "football", "chess", "open-data", "city-guide", "field-notes", "thought",
+#: Words of the labelled table's host names: what a crawl should leave out, what it may keep, and what stands beside either.
+BLOCKED_WORDS = ("pills", "pharma", "bets", "casino", "poker", "slots", "adult", "xxx", "spam", "ads", "loans", "warez", "keygen", "replica")
+BLOCKED_BESIDE = ("cheap", "free", "best", "win", "track", "farm", "x", "bonus", "deals")
+ALLOWED_WORDS = (
+    "library", "archive", "museum", "science", "history", "college", "research", "journal", "weather", "garden", "recipes", "travel", "theatre", "grammar", "physics",
+    "medicine", "council", "statistics", "railway", "forest", "astronomy", "software", "tutorial", "gallery", "football", "chess", "thought", "mathematics",
 )
+ALLOWED_BESIDE = ("", "city", "open", "north", "old", "notes", "daily", "children")
 _PLACES = (("", ".com", "/en/12.html"), ("www.", ".example.org", "/de/5/"), ("m.", ".example.net", "/fr/310"), ("blog.", ".example.com", "/es/77/"), ("", ".net", "/"), ("", ".org", "/about"))
 
 
+def _names(words: tuple[str, ...], beside: tuple[str, ...]) -> list[str]:
+    """Each word alone where nothing stands beside it, else in both orders."""
+    return sorted({f"{a}-{b}".strip("-") for w, x in product(words, beside) for a, b in ((w, x), (x, w))})
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, name, label): the labelled names in several places; label 1.0 is to be blocked."""
-    rows = [(f"http://{before}{name}{after}{path}", name, label) for names, label in ((BLOCKED_NAMES, 1.0), (ALLOWED_NAMES, 0.0)) for name, (before, after, path) in product(names, _PLACES)]
+    """(url, name, label): each name in three places; label 1.0 is to be blocked."""
+    rows = [(f"http://{before}{name}{after}{path}", name, label) for words, beside, label in ((BLOCKED_WORDS, BLOCKED_BESIDE, 1.0), (ALLOWED_WORDS, ALLOWED_BESIDE, 0.0)) for k, name in enumerate(_names(words, beside)) for before, after, path in _PLACES[k % 2 :: 2]]
     return spark.createDataFrame(rows, "url string, name string, label double")
 
 
