@@ -68,7 +68,9 @@ def _tokenizer(path: str) -> tuple:
     tokenizer = Tokenizer.from_file(path)
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        ids = []
+        for k in range(0, len(pieces), 10_000):  # the library's encodings are large beside their ids
+            ids += [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces[k : k + 10_000]], add_special_tokens=False)]
         return np.array([len(x) for x in ids], np.int32), np.array([i for x in ids for i in x], np.int32)
 
     return tokenizer, PieceTable(encode)
@@ -79,7 +81,7 @@ def _token_pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, len
     tokenizer, table = _tokenizer(path)
     for batch in batches:
         doc_ids = batch.column(0)
-        for low, data, offsets in text_chunks(batch.column(1), 4 << 20):
+        for low, data, offsets in text_chunks(batch.column(1)):
             starts, ends, rows = piece_spans(data, offsets, "spaced")
             counts, at = table.look_up(data, starts, ends)
             tokens = table.gather(counts, at)

@@ -31,4 +31,4 @@ def stored(df: DataFrame) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes too, unless the session says so already: texts may be long."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "-1", "9223372036854775807", str(2**31 - 1)):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))

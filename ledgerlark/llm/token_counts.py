@@ -105,7 +105,7 @@ def _counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             parts += map(normalised, pieces)
             owner += [r] * len(pieces)
         owner = np.array(owner, np.int64)
-        for low, data, offsets in text_chunks(pa.array(parts, pa.large_string()), 4 << 20):
+        for low, data, offsets in text_chunks(pa.array(parts, pa.large_string())):
             starts, ends, rows = piece_spans(data, offsets, "bare")
             counts, _ = table.look_up(data, starts, ends)
             n_tokens += np.bincount(owner[low + rows], counts, len(texts)).astype(np.int64)
