@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlark.llm.byte_bpe import round_trip
 from ledgerlark.llm.chat_format import conversation_calls, link_tool_calls
@@ -26,6 +27,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _with_span_text(df: DataFrame) -> DataFrame:
+    """removed_spans as text, "start-end" by commas, which every engine compares alike."""
+    spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return df.withColumns({"n_removed": F.size("removed_spans").cast("long"), "removed_spans": F.concat_ws(",", spans)})
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,7 +54,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(_table(spark, sf_dir, "documents"))
+    return _with_span_text(substring_dedup(_table(spark, sf_dir, "documents")))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +62,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents"))
+    return _with_span_text(line_dedup(_table(spark, sf_dir, "documents")))
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +81,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_formatting": """
+WITH RECURSIVE spoken AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'system')),
+d AS (
+  SELECT s.conv_id, s.turn, 0 AS depth FROM spoken s WHERE role = 'system' OR NOT EXISTS (SELECT 1 FROM spoken p WHERE p.conv_id = s.conv_id AND p.turn = s.turn - 2)
+  UNION ALL SELECT s.conv_id, s.turn, d.depth + 1 FROM d JOIN spoken s ON s.conv_id = d.conv_id AND s.turn = d.turn + 2 WHERE s.role = 'user'),
+r AS (SELECT conv_id, turn - 1 AS turn, text AS content FROM conversations WHERE role = 'assistant'),
+j AS (SELECT coalesce(s.conv_id, r.conv_id) AS conv_id, coalesce(s.turn, r.turn) AS turn, s.role, s.text, r.content, r.conv_id IS NOT NULL AS answered FROM spoken s FULL JOIN r ON r.conv_id = s.conv_id AND r.turn = s.turn)
+SELECT j.conv_id, 't' || j.turn AS call_id, CAST(d.depth AS INT) AS depth,
+  CASE WHEN role IS NULL THEN 'no call' WHEN role = 'system' THEN 'no schema' WHEN NOT answered THEN 'no result' ELSE 'ok' END AS status,
+  '{"after":' || CASE WHEN role = 'user' THEN '"t' || (j.turn - 2) || '"' ELSE 'null' END || ',"arguments":' || CASE WHEN role IS NULL THEN 'null' ELSE '{"n_chars":' || length(text) || ',"text":' || to_json(text) || '}' END
+  || ',"id":"t' || j.turn || '","name":' || CASE role WHEN 'user' THEN '"reply"' WHEN 'system' THEN '"instruct"' ELSE 'null' END || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS record
+FROM j LEFT JOIN d ON d.conv_id = j.conv_id AND d.turn = j.turn
+""",
+    "op6_substring_dedup": f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS part, len(string_split(text, chr(10))) AS n FROM documents),
+w AS (SELECT *, line || CASE WHEN part < n - 1 THEN chr(10) ELSE '' END AS whole, {_WORDS.format(text="line")} AS words FROM l),
+k AS (SELECT *, CAST(sum(length(whole)) OVER (PARTITION BY doc_id ORDER BY part) AS BIGINT) AS stop,
+  len(words) >= 5 AND row_number() OVER (PARTITION BY CASE WHEN len(words) >= 5 THEN array_to_string(words, ' ') END, len(words) >= 5 ORDER BY doc_id, part) > 1 AS gone FROM w),
+g AS (SELECT doc_id, coalesce(string_agg(whole, '' ORDER BY part) FILTER (NOT gone), '') AS text, coalesce(string_agg((stop - length(whole)) || '-' || stop, ',' ORDER BY part) FILTER (gone), '') AS removed_spans, count(*) FILTER (gone) AS n_removed FROM k GROUP BY 1)
+SELECT d.doc_id, g.text, d.lang, d.source, d.n_chars, g.removed_spans, g.n_removed FROM documents d JOIN g USING (doc_id)
+""",
+    "op9_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS c FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.node),
+m AS (SELECT node, min(c) AS component_id FROM r GROUP BY 1)
+SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN m ON m.node = v.vec_id
+""",
+    "op10_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(words) < 5 THEN words ELSE words[i : i + 4] END, ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r AS (SELECT doc_id AS node, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(c) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY 1, 2
+""",
+}
