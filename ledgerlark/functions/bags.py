@@ -57,7 +57,7 @@ def answers(rows: DataFrame, vocabulary: DataFrame, text_col: str = "answer", *,
         F.transform(F.coalesce("a.merkmale", F.array().cast("array<struct<id:string,satz:string,beleg:string,gewicht:string>>")), lambda t: F.struct(t["id"].alias("term"), t["satz"].alias("sentence"), t["beleg"].alias("evidence"), t["gewicht"].alias("word"), F.lit(False).alias("as_pattern"))),
         F.transform(F.coalesce("a.erzaehlmuster", F.array().cast("array<struct<id:string,satz:string,beleg:string>>")), lambda t: F.struct(t["id"].alias("term"), t["satz"].alias("sentence"), t["beleg"].alias("evidence"), F.lit(None).cast("string").alias("word"), F.lit(True).alias("as_pattern"))),
     )
-    items = parsed.where("a.bekannt").select("subject", F.posexplode(listed).alias("pos", "t")).select("subject", "pos", "t.*").join(F.broadcast(vocabulary), "term", "left")
+    items = parsed.where("a.bekannt").select("subject", F.posexplode(listed).alias("pos", "t")).select("subject", "pos", "t.*").join(vocabulary, "term", "left")
     firsts = items.groupBy("subject", "term").agg(F.min("pos").alias("first"))
     items = items.join(firsts, ["subject", "term"], "left")
     words = F.create_map(*(F.lit(x) for pair in WEIGHT_WORDS.items() for x in pair))

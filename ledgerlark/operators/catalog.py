@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -145,11 +146,12 @@ def bundle_advantage(bundles: DataFrame, settings: Settings) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df through a Parquet table in the checkpoint folder if the session has one, else through a checkpoint of its own plan."""
+    """df through a Parquet table in the cluster's checkpoint folder, so that its lineage ends; a local folder only where none is set, as in tests."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        return df
+        folder = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
+        spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -157,7 +159,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (a, b): labels are the least node, each round taken from neighbours and then from the label's own label."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     while True:
         seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))

@@ -210,8 +210,8 @@ def pred_liked_genre(spark, sf):
 
 @query("SELECT coalesce(r_name, 'all') AS genre, coalesce(n_name, 'all') AS subgenre, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)")
 def agg_genre_rollup(spark, sf):
-    nation = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
-    rows = table(spark, sf, "customer").join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    nation = table(spark, sf, "nation").join(eligibility.small(table(spark, sf, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
+    rows = table(spark, sf, "customer").join(eligibility.small(nation), F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.rollup("r_name", "n_name").agg(F.count("*").alias("n")).select(F.coalesce("r_name", F.lit("all")).alias("genre"), F.coalesce("n_name", F.lit("all")).alias("subgenre"), "n")
 
 
@@ -478,5 +478,5 @@ def set_except(spark, sf):
 
 @query("SELECT n_nationkey, c_custkey, c_acctbal, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INT) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey QUALIFY n <= 3")
 def topk_per_group(spark, sf):
-    rows = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation").select("n_nationkey")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf, "customer").join(eligibility.small(table(spark, sf, "nation").select("n_nationkey")), F.col("c_nationkey") == F.col("n_nationkey"))
     return ranking.top_per(rows, ["n_nationkey"], [F.desc("c_acctbal"), F.asc("c_custkey")], 3).select("n_nationkey", "c_custkey", "c_acctbal", "n")
