@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.pieces import PieceTable, piece_spans
 from ledgerlark.llm.storage import bounded_batches
-from ledgerlark.llm.text_arrays import text_chunks
+from ledgerlark.llm.text_arrays import text_chunks, tidily
 
 #: Steps of one recursive query; what isn't done then goes into another, so that its rows stay few.
 STEPS = 24
@@ -127,15 +127,15 @@ codec = lru_cache(2)(Codec)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low, data, offsets in text_chunks(batch.column(1)):
+    for batch in tidily(batches):
+        for low, data, offsets in text_chunks(batch.column(1), 1 << 20):
             ids, bounds = codec(path).tokens(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(lists)), lists], ["id", "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tidily(batches):
         lists = batch.column(1)
         sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
         docs = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
@@ -144,8 +144,8 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low, data, offsets in text_chunks(batch.column(1)):
+    for batch in tidily(batches):
+        for low, data, offsets in text_chunks(batch.column(1), 1 << 20):
             ids, bounds = codec(path).tokens(data, offsets)
             n = len(offsets) - 1
             texts = codec(path).decode(np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds)), ids, n)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import bounded_batches, stored
-from ledgerlark.llm.text_arrays import U64, mix, powers, span_hashes, text_chunks, window_hashes
+from ledgerlark.llm.text_arrays import U64, mix, powers, span_hashes, text_chunks, tidily, window_hashes
 from ledgerlark.llm.units import PARTS, beside_ids, later_occurrences, line_spans, without_parts
 
 Shape = tuple[int, int, int]
@@ -56,7 +56,7 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _digests(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tidily(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for low, data, offsets in text_chunks(batch.column(1)):
             starts, ends, first = _lines(data, offsets)
@@ -91,7 +91,7 @@ def chunk_spans(text: str, shape: Shape) -> list[tuple[int, int]]:
 
 def _chunk_texts(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     """(id, text, parts: array of part, first_id, first_part, slot) -> the bytes of each, beside what it must equal."""
-    for batch in batches:
+    for batch in tidily(batches):
         rows = []
         for i, text, parts in zip(*(batch.column(k).to_pylist() for k in range(3))):
             spans = chunk_spans(text, shape)
@@ -107,7 +107,7 @@ def _chunk_texts(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted with the first occurrence before the later ones of a slot: the later ones equal to it, byte by byte."""
     key, own = None, set()
-    for batch in batches:
+    for batch in tidily(batches):
         found = []
         for a, b, slot, later, i, part, text in zip(*(c.to_pylist() for c in batch.columns)):
             if (a, b, slot) != key:

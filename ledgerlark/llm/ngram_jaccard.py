@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.components import connected_components
 from ledgerlark.llm.storage import BROADCAST_ROWS, bounded_batches, stored
-from ledgerlark.llm.text_arrays import LOWER, U64, mix, span_hashes, text_chunks, window_hashes, words
+from ledgerlark.llm.text_arrays import LOWER, U64, mix, span_hashes, text_chunks, tidily, window_hashes, words
 
 LEVELS = 6
 #: 64-bit words of the short sketch. It rules out unlike sets of up to some 64 * SHORT * 2 shingles.
@@ -134,7 +134,7 @@ def _differ(a: Column, b: Column) -> Column:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tidily(batches):
         rows = [(len(s), *set_keys(s), odd_sketch(s), short_sketch(s)) for s in shingle_sets(batch.column(1), width)]
         *numbers, sketches, short = zip(*rows) if rows else ((),) * 5
         words_ = pa.list_(pa.int64())
@@ -149,7 +149,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch], width: int, percent: int)
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], ["sig", "k1"])
 
-    for batch in batches:
+    for batch in tidily(batches):
         for s in shingle_sets(batch.column(0), width):
             key = set_keys(s)[0] if len(s) else None
             if key is None or key in seen:  # copies within a task sign once
@@ -169,7 +169,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by signature and set, those whose signature more than one set has."""
     last: tuple | None = None
     told = False
-    for batch in batches:
+    for batch in tidily(batches):
         sig, key = (batch.column(i).to_numpy() for i in (0, 1))
         if last is not None:
             sig, key = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], key])
@@ -193,7 +193,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compare(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by hub with the hub's own text first: the members that are similar to it."""
     hub, own = None, []
-    for batch in batches:
+    for batch in tidily(batches):
         hubs, members, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         links = []
         for h, member, i, s in zip(hubs, members, ids, shingle_sets(batch.column(3), width)):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.pieces import PieceTable, piece_spans
 from ledgerlark.llm.storage import bounded_batches, stored
-from ledgerlark.llm.text_arrays import text_chunks
+from ledgerlark.llm.text_arrays import text_chunks, tidily
 
 #: A special token that the tokenizer finds inside texts before it splits them.
 SPECIAL = b"<|endoftext|>"
@@ -69,19 +69,19 @@ def _tokenizer(path: str) -> tuple:
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids = []
-        for k in range(0, len(pieces), 10_000):  # the library's encodings are large beside their ids
-            ids += [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces[k : k + 10_000]], add_special_tokens=False)]
+        for k in range(0, len(pieces), 5_000):  # the library's encodings are large beside their ids
+            ids += [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces[k : k + 5_000]], add_special_tokens=False)]
         return np.array([len(x) for x in ids], np.int32), np.array([i for x in ids for i in x], np.int32)
 
-    return tokenizer, PieceTable(encode)
+    return tokenizer, PieceTable(encode, most=400_000)
 
 
 def _token_pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """(id, text) -> id, piece, start, length, ids_crc32, perhaps ids."""
     tokenizer, table = _tokenizer(path)
-    for batch in batches:
+    for batch in tidily(batches):
         doc_ids = batch.column(0)
-        for low, data, offsets in text_chunks(batch.column(1)):
+        for low, data, offsets in text_chunks(batch.column(1), 1 << 20):
             starts, ends, rows = piece_spans(data, offsets, "spaced")
             counts, at = table.look_up(data, starts, ends)
             tokens = table.gather(counts, at)

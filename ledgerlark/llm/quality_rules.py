@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import bounded_batches, stored
-from ledgerlark.llm.text_arrays import SEPARATOR, U64, mix, span_hashes, text_chunks, window_hashes, words
+from ledgerlark.llm.text_arrays import SEPARATOR, U64, mix, span_hashes, text_chunks, tidily, window_hashes, words
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -68,7 +68,7 @@ def text_statistics(column: pa.Array) -> Iterator[list[np.ndarray]]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tidily(batches):
         parts = [np.concatenate(x) for x in zip(*text_statistics(batch.column(0)))] or [np.zeros(0, np.int64)] * len(STATISTICS)
         yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in parts), *batch.columns[1:]], [*STATISTICS, *batch.schema.names[1:]])
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import bounded_batches, stored
-from ledgerlark.llm.text_arrays import LOWER, U64, mix, powers, span_hashes, text_chunks, words
+from ledgerlark.llm.text_arrays import LOWER, U64, mix, powers, span_hashes, text_chunks, tidily, words
 from ledgerlark.llm.units import PARTS, later_occurrences, line_spans, without_parts
 
 
@@ -33,7 +33,7 @@ def _unit_ends(data: np.ndarray, unit: str) -> np.ndarray:
 
 
 def _digests(batches: Iterator[pa.RecordBatch], unit: str, least_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tidily(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for low, data, offsets in text_chunks(batch.column(1)):
             data = LOWER[data]

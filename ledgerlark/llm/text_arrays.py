@@ -34,7 +34,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64, and their inverses."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, (1 << 20) + 2)
+        size = max(n, (1 << 18) + 2)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, U64)
             steps[0] = 1
@@ -42,7 +42,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"]
 
 
-def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def tidily(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, and then Arrow's unused memory back to the system: a worker goes on to other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
+def text_chunks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cut a text column into runs of rows of about ``most`` bytes: the first row, the bytes, and the
     rows' offsets in them. A longer row is a chunk of its own; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

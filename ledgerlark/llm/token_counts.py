@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.pieces import PieceTable, piece_spans
 from ledgerlark.llm.storage import bounded_batches
-from ledgerlark.llm.text_arrays import text_chunks
+from ledgerlark.llm.text_arrays import text_chunks, tidily
 
 
 def byte_chars() -> list[str]:
@@ -94,7 +94,7 @@ def normalised(text: str) -> str:
 
 def _counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     special, table = _vocabulary(path)
-    for batch in batches:
+    for batch in tidily(batches):
         texts = [t or "" for t in batch.column(1).to_pylist()]
         n_bytes = np.array([len(t.encode()) for t in texts], np.int64)
         n_tokens = np.zeros(len(texts), np.int64)
@@ -105,7 +105,7 @@ def _counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             parts += map(normalised, pieces)
             owner += [r] * len(pieces)
         owner = np.array(owner, np.int64)
-        for low, data, offsets in text_chunks(pa.array(parts, pa.large_string())):
+        for low, data, offsets in text_chunks(pa.array(parts, pa.large_string()), 1 << 20):
             starts, ends, rows = piece_spans(data, offsets, "bare")
             counts, _ = table.look_up(data, starts, ends)
             n_tokens += np.bincount(owner[low + rows], counts, len(texts)).astype(np.int64)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import BROADCAST_ROWS, stored
+from ledgerlark.llm.text_arrays import tidily
 
 #: What a part is: its place in characters is left for the text's rewriting, its bytes are given here.
 PARTS = "id long, part long, d1 long, d2 long"
@@ -36,7 +37,7 @@ Cut = Callable[[str], list[tuple[int, int]]]
 
 
 def _without(batches: Iterator[pa.RecordBatch], cut: Cut) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tidily(batches):
         names = batch.schema.names
         texts, gone = batch.column(names.index("text")).to_pylist(), batch.column(names.index("gone")).to_pylist()
         left, spans = [], []
