@@ -23,15 +23,21 @@ Shape = tuple[int, int, int]
 
 
 def chunk_bounds(hashes: np.ndarray, shape: Shape) -> np.ndarray:
-    """First lines of a text's chunks. shape: lines of the rolling window, mean lines of a chunk, most lines."""
+    """First lines of a text's chunks. shape: lines of the rolling window, mean lines of a chunk, most lines (3 at least).
+    No chunk of a text of two lines and more has a single line: a boundary one line after the last, or before the end, is passed over."""
     window, mean, most = shape
     rolling = window_hashes(hashes, window)
-    ends = np.flatnonzero(rolling % U64(mean) == 0) + window
-    bounds = np.concatenate([[0], ends[ends < len(hashes)], [len(hashes)]])
-    bounds = np.unique(bounds)
+    bounds = [0]
+    for end in (np.flatnonzero(rolling % U64(mean) == 0) + window).tolist():
+        if bounds[-1] + 2 <= end <= len(hashes) - 2:
+            bounds.append(end)
+    bounds = np.unique([*bounds, len(hashes)])
     long = np.flatnonzero(np.diff(bounds) > most)
     if len(long):
-        bounds = np.unique(np.concatenate([bounds, *(np.arange(bounds[k], bounds[k + 1], most) for k in long)]))
+        cuts = [np.arange(bounds[k], bounds[k + 1], most) for k in long]
+        for k, own in zip(long, cuts):
+            own[-1] -= bounds[k + 1] - own[-1] == 1
+        bounds = np.unique(np.concatenate([bounds, *cuts]))
     return bounds[:-1]
 
 
@@ -125,7 +131,7 @@ def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the original text, in order): of equal multi-line chunks the first by id, then place, stays.
 
     Lines end at \\n and are compared as they are. A chunk ends where the rolling hash of the last ``window`` lines is a
-    multiple of ``mean_lines``, or after ``most_lines``; one of a single line stays always. Null text stays null, an empty one
+    multiple of ``mean_lines``, but not after its first line or before the text's last, or after ``most_lines``; a text of a single line stays always. Null text stays null, an empty one
     empty; a row whose id is null keeps its text. Rows with one id are taken as one place: what goes from one goes from the others.
     Other columns stay as they are; an empty table gives an empty result. Digests of 128 bits are shuffled, then the bytes of
     chunks that occur again; many copies of one chunk are compared in 16 slots, each with the first beside it.

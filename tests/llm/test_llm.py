@@ -290,6 +290,23 @@ def test_chunk_bounds_shift_with_the_lines():
     assert len(base & moved) >= len(base) - 2
 
 
+def test_no_chunk_of_a_single_line():
+    rng = np.random.default_rng(4)
+    for n in (*range(2, 80), 129, 193, 500):
+        for hashes in (rng.integers(0, 2**63, n).astype(np.uint64), np.full(n, rng.integers(2**63), np.uint64)):
+            for shape in ((2, 4, 64), (2, 1, 64), (3, 10**6, 5)):
+                sizes = np.diff([*line_dedup.chunk_bounds(hashes, shape), n])
+                assert 2 <= sizes.min() and sizes.max() <= shape[2]
+
+
+def test_copies_go_wholly(spark):
+    """Every copy of a text of two lines and more goes, wherever its chunks end."""
+    rng = random.Random(11)
+    texts = ["\n".join(prose(rng, 5, 10**6) for _ in range(n)) for n in range(2, 22)]
+    found = line_dedup.line_dedup(docs(spark, [*texts, *texts])).collect()
+    assert {r.doc_id: r.text for r in found} == dict(enumerate([*texts, *[""] * len(texts)]))
+
+
 # --- tokenizers: op 1, op 2, op 4 ---
 
 ODD = [
