@@ -18,6 +18,7 @@ from ledgerlark.llm.packing import best_fit_packing
 from ledgerlark.llm.quality_rules import quality_verdicts
 from ledgerlark.llm.storage import stored
 from ledgerlark.llm.substring_dedup import substring_dedup
+from ledgerlark.llm.units import row_keys
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -41,11 +42,13 @@ def drop_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id. A row whose id is null stays."""
-    groups = ngram_jaccard_components(docs)
-    other = stored(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    """Of each group of near duplicates the row with the smallest id; of rows with one id each is compared as a row of its
+    own. A row whose id is null stays."""
+    docs = row_keys(docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("row")), "row")
+    groups = ngram_jaccard_components(docs, "row")
+    other = stored(groups.where("row <> component_id").select("row").distinct())
     other = F.broadcast(other) if other.count() <= 1_000_000 else other
-    return docs.select(*COLUMNS).join(other, "doc_id", "left_anti")
+    return docs.join(other, "row", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import bounded_batches, stored
 from ledgerlark.llm.text_arrays import U64, mix, powers, span_hashes, text_chunks, tidily, window_hashes
-from ledgerlark.llm.units import PARTS, beside_ids, later_occurrences, line_spans, without_parts
+from ledgerlark.llm.units import PARTS, beside_ids, later_occurrences, line_spans, row_keys, without_parts
 
 Shape = tuple[int, int, int]
 
@@ -132,7 +132,7 @@ def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Lines end at \\n and are compared as they are. A chunk ends where the rolling hash of the last ``window`` lines is a
     multiple of ``mean_lines``, but not after its first line or before the text's last, or after ``most_lines``; a text of a single line stays always. Null text stays null, an empty one
-    empty; a row whose id is null keeps its text. Rows with one id are taken as one place: what goes from one goes from the others.
+    empty; a row whose id is null keeps its text. Rows with one id are rows of their own, in the order of a hash of their texts.
     Other columns stay as they are; an empty table gives an empty result. Digests of 128 bits are shuffled, then the bytes of
     chunks that occur again; many copies of one chunk are compared in 16 slots, each with the first beside it.
     """
@@ -140,7 +140,7 @@ def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shape = (window, mean_lines, most_lines)
     name = {c: f"c{i}" for i, c in enumerate(documents.columns)}
     docs = documents.withColumnsRenamed(name)
-    docs = docs.withColumns({"id": F.col(name[id_col]).cast("long"), "text": F.col(name[text_col]).cast("string")}).drop(name[text_col])
+    docs = row_keys(docs.withColumns({"id": F.col(name[id_col]).cast("long"), "text": F.col(name[text_col]).cast("string")}).drop(name[text_col]))
     plain = docs.where("id is not null and text is not null").select("id", "text")
     parts = stored(plain.mapInArrow(partial(_digests, shape=shape), PARTS))
     later = stored(later_occurrences(parts).withColumn("slot", F.pmod(F.xxhash64("id", "part"), F.lit(16))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import bounded_batches, stored
 from ledgerlark.llm.text_arrays import LOWER, U64, mix, powers, span_hashes, text_chunks, tidily, words
-from ledgerlark.llm.units import PARTS, later_occurrences, line_spans, without_parts
+from ledgerlark.llm.units import PARTS, later_occurrences, line_spans, row_keys, without_parts
 
 
 def paragraph_spans(text: str) -> list[tuple[int, int]]:
@@ -65,15 +65,14 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     A unit is a line, or with unit="paragraph" what stands between blank lines. Units are equal when
     their words are, with A-Z as a-z and any white space between. Units of fewer than ``least_words`` words stay.
-    Null text stays null, an empty one empty; a row whose id is null keeps its text. Rows with one id are taken as one
-    place: their units count from each text's start, and what goes from one goes from the others. Other columns stay
-    as they are; an empty table gives an empty result. Digests have 128 bits and only they are shuffled; then whole texts
+    Null text stays null, an empty one empty; a row whose id is null keeps its text. Rows with one id are rows of
+    their own, in the order of a hash of their texts. Other columns stay as they are; an empty table gives an empty result. Digests have 128 bits and only they are shuffled; then whole texts
     are joined with the numbers of what goes.
     """
     bounded_batches(documents.sparkSession)
     docs = documents.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(documents.columns)})
     name = {c: f"c{i}" for i, c in enumerate(documents.columns)}
-    docs = docs.withColumns({"id": F.col(name[id_col]).cast("long"), "text": F.col(name[text_col]).cast("string")}).drop(name[text_col])
+    docs = row_keys(docs.withColumns({"id": F.col(name[id_col]).cast("long"), "text": F.col(name[text_col]).cast("string")}).drop(name[text_col]))
     parts = stored(docs.where("id is not null").select("id", "text").mapInArrow(partial(_digests, unit=unit, least_words=least_words), PARTS))
     gone = later_occurrences(parts).select("id", "part")
     out = without_parts(docs, gone, line_spans if unit == "line" else paragraph_spans)

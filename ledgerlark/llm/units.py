@@ -1,5 +1,5 @@
 """Parts of texts (lines, or runs of lines) that other texts have as well: which stay, and the texts
-without the rest. A part is named by its document's id and its number."""
+without the rest. A part is named by its row's key, see ``row_keys``, and its number."""
 
 from __future__ import annotations
 
@@ -17,6 +17,19 @@ from ledgerlark.llm.text_arrays import tidily
 PARTS = "id long, part long, d1 long, d2 long"
 
 
+def row_keys(docs: DataFrame, column: str = "id") -> DataFrame:
+    """docs whose ``column`` (long) names one row: as it is where no value but null repeats, else a number of the row
+    in the order of its value, then of its text. Null stays null.
+
+    Rows are numbered by a sort over ranges of the whole table, texts too, written once; equal rows are told apart by
+    a random number, so no group of them is one task's."""
+    key = F.col(column)
+    if not docs.where(key.isNotNull()).groupBy(column).count().where("count > 1").take(1):
+        return docs
+    rows = docs.withColumns({"_hash": F.xxhash64("text"), "_random": F.rand(0)}).orderBy(column, "_hash", "_random").drop("_hash", "_random")
+    return stored(rows.withColumn(column, F.when(key.isNotNull(), F.monotonically_increasing_id())))
+
+
 def later_occurrences(parts: DataFrame) -> DataFrame:
     """(id, part, d1, d2, first_id, first_part) of each part whose digest an earlier part has, by id, then part.
 

@@ -264,6 +264,17 @@ def test_substring_dedup(spark, unit):
     assert substring_dedup.substring_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dedup", [substring_dedup.substring_dedup, line_dedup.line_dedup])
+def test_rows_that_share_an_id(spark, dedup):
+    """One row's parts don't go from the others of its id, and of rows equal in id and text one stays."""
+    rng = random.Random(12)
+    a, b, c = ("\n".join(prose(rng, 6, 10**6) for _ in range(2)) + "\n" for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, None), (2, ""), (3, c), (3, c), (3, c), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, id int").repartition(3)
+    found = [(r.doc_id, r.text) for r in dedup(df).collect()]
+    assert sorted(found, key=repr) == sorted([(1, a), (2, ""), (2, b), (2, None), (2, ""), (3, c), (3, ""), (3, ""), (None, a), (None, a)], key=repr)
+
+
 def test_line_dedup(spark):
     rows = [*enumerate(lined_corpus()), (None, "a\nb\nc\nd")]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, d1 int, slot int")
