@@ -431,6 +431,14 @@ def test_url_model_on_held_out_names(spark):
     assert right >= 0.75
 
 
+def test_labelled_table_is_not_made_of_the_test_hosts(spark):
+    """No word of a junk host of the test pages, none of their prefixes, domains and paths; and a column to hold out words by."""
+    rows = url_filters.labelled_urls(spark).collect()
+    parts = {p for r in rows for p in re.split(r"[^a-z0-9]+", r.url)}
+    assert not parts & set("casino win ads track free bets spam farm cheap pills adult x example www m blog en de fr es".split())
+    assert all(r.word in r.name.split("-") for r in rows)
+
+
 # --- op 3 ---
 
 
