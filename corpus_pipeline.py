@@ -30,11 +30,11 @@ def _rewritten(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows of one id go together: one rejected row rejects it."""
-    verdicts = quality_verdicts(docs)
-    bad = stored(verdicts.where("doc_id is not null and not kept").select("doc_id").distinct())
+    """Documents that the quality rules keep; each row has its own verdict, with any id or none."""
+    docs = row_keys(docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("row")), "row", nulls=True)
+    bad = stored(quality_verdicts(docs, keep=("row",)).where("not kept").select("row"))
     bad = F.broadcast(bad) if bad.count() <= 1_000_000 else bad
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti")
+    return docs.join(bad, "row", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

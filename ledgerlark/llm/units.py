@@ -17,17 +17,18 @@ from ledgerlark.llm.text_arrays import tidily
 PARTS = "id long, part long, d1 long, d2 long"
 
 
-def row_keys(docs: DataFrame, column: str = "id") -> DataFrame:
+def row_keys(docs: DataFrame, column: str = "id", *, nulls: bool = False) -> DataFrame:
     """docs whose ``column`` (long) names one row: as it is where no value but null repeats, else a number of the row
-    in the order of its value, then of its text. Null stays null.
+    in the order of its value, then of its text. Null stays null, or with ``nulls`` gets a number as well.
 
     Rows are numbered by a sort over ranges of the whole table, texts too, written once; equal rows are told apart by
     a random number, so no group of them is one task's."""
     key = F.col(column)
-    if not docs.where(key.isNotNull()).groupBy(column).count().where("count > 1").take(1):
+    again = (F.col("count") > 1) & key.isNotNull() | (key.isNull() if nulls else F.lit(False))
+    if not docs.groupBy(column).count().where(again).take(1):
         return docs
     rows = docs.withColumns({"_hash": F.xxhash64("text"), "_random": F.rand(0)}).orderBy(column, "_hash", "_random").drop("_hash", "_random")
-    return stored(rows.withColumn(column, F.when(key.isNotNull(), F.monotonically_increasing_id())))
+    return stored(rows.withColumn(column, F.when(key.isNotNull() | F.lit(nulls), F.monotonically_increasing_id())))
 
 
 def later_occurrences(parts: DataFrame) -> DataFrame:

@@ -46,6 +46,15 @@ def test_stages(spark):
     assert all(r.length <= 1024 for r in packed) and re.fullmatch(r"\d+", str(packed[0].sequence_id))
 
 
+def test_each_row_has_its_own_verdict(spark):
+    good = " ".join(f"a{j}" for j in range(80))
+    rows = [(None, "three short words"), (None, good), (1, good), (1, "too short"), (2, good)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC).repartition(3)
+    kept = corpus_pipeline.keep_good(spark, docs, "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, good), (2, good), (None, good)], key=repr)
+    assert tuple(kept.columns) == corpus_pipeline.COLUMNS
+
+
 def test_near_duplicates_that_share_an_id(spark):
     one, two = (" ".join(f"{c}{j}" for j in range(80)) for c in "ab")
     rows = [(1, one), (2, one), (2, two), (3, two), (3, two), (4, None), (4, "x y"), (None, one), (None, one)]
