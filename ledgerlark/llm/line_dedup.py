@@ -16,29 +16,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import bounded_batches, stored
-from ledgerlark.llm.text_arrays import U64, mix, powers, span_hashes, text_chunks, tidily, window_hashes
-from ledgerlark.llm.units import PARTS, beside_ids, later_occurrences, line_spans, row_keys, without_parts
+from ledgerlark.llm.text_arrays import U64, span_hashes, text_chunks, tidily, window_hashes
+from ledgerlark.llm.units import PARTS, SPANS, beside_ids, later_occurrences, line_spans, row_keys, without_spans
 
-Shape = tuple[int, int, int]
+Shape = tuple[int, int]
 
 
 def chunk_bounds(hashes: np.ndarray, shape: Shape) -> np.ndarray:
-    """First lines of a text's chunks. shape: lines of the rolling window, mean lines of a chunk, most lines (3 at least).
-    No chunk of a text of two lines and more has a single line: a boundary one line after the last, or before the end, is passed over."""
-    window, mean, most = shape
+    """First lines of a text's chunks. shape: lines of the rolling window, least lines between boundaries (two at least).
+    A chunk ends where the rolling hash is less than at the places around it that are nearer than the least distance; of equal ones the
+    first counts. So each boundary depends on a few lines alone. No boundary is one line off the text's beginning or end."""
+    window, apart = shape
     rolling = window_hashes(hashes, window)
-    bounds = [0]
-    for end in (np.flatnonzero(rolling % U64(mean) == 0) + window).tolist():
-        if bounds[-1] + 2 <= end <= len(hashes) - 2:
-            bounds.append(end)
-    bounds = np.unique([*bounds, len(hashes)])
-    long = np.flatnonzero(np.diff(bounds) > most)
-    if len(long):
-        cuts = [np.arange(bounds[k], bounds[k + 1], most) for k in long]
-        for k, own in zip(long, cuts):
-            own[-1] -= bounds[k + 1] - own[-1] == 1
-        bounds = np.unique(np.concatenate([bounds, *cuts]))
-    return bounds[:-1]
+    if not len(rolling):
+        return np.zeros(min(len(hashes), 1), np.int64)
+    around = np.pad(rolling, apart - 1, constant_values=np.iinfo(np.uint64).max)
+    ends = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(around, 2 * apart - 1).argmin(axis=1) == apart - 1) + window
+    return np.append(0, ends[(ends >= 2) & (ends <= len(hashes) - 2)])
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,13 +71,8 @@ def _digests(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.Rec
             b = np.append(a[1:], len(hashes))
             keep = b - a > 1
             a, b, row, number = a[keep], b[keep], row[keep], number[keep]
-            up, down = powers(len(hashes) + 1)
-            digests = []
-            for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-                sums = np.zeros(len(hashes) + 1, U64)
-                np.cumsum(mix(hashes ^ U64(salt)) * up[: len(hashes)], out=sums[1:])
-                digests.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[low + row].astype(np.int64)), pa.array(number), *map(pa.array, digests)], ["id", "part", "d1", "d2"])
+            digests = span_hashes(data, starts[a], ends[b - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[low + row].astype(np.int64)), pa.array(number), pa.array(digests.view(np.int64))], ["id", "part", "d"])
 
 
 def chunk_spans(text: str, shape: Shape) -> list[tuple[int, int]]:
@@ -96,58 +85,59 @@ def chunk_spans(text: str, shape: Shape) -> list[tuple[int, int]]:
 
 
 def _chunk_texts(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
-    """(id, text, parts: array of part, first_id, first_part, slot) -> the bytes of each, beside what it must equal."""
+    """(id, text, parts: array of part, first_id, first_part, slot) -> the characters of each chunk, and its bytes beside what they must equal."""
     for batch in tidily(batches):
         rows = []
         for i, text, parts in zip(*(batch.column(k).to_pylist() for k in range(3))):
             spans = chunk_spans(text, shape)
             for p in parts:
-                if p["part"] < len(spans):
-                    a, b = spans[p["part"]]
-                    rows.append((p["first_id"], p["first_part"], p["slot"], int((i, p["part"]) != (p["first_id"], p["first_part"])), i, p["part"], text[a:b].removesuffix("\n").encode()))
+                a, b = spans[p["part"]]
+                rows.append((p["first_id"], p["first_part"], p["slot"], int((i, p["part"]) != (p["first_id"], p["first_part"])), i, a, b, text[a:b].removesuffix("\n").encode()))
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["first_id", "first_part", "slot", "later", "id", "part", "bytes"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [c.split()[0] for c in CHUNKS.split(", ")])
+
+
+CHUNKS = "first_id long, first_part long, slot int, later int, id long, start long, end long, bytes binary"
 
 
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted with the first occurrence before the later ones of a slot: the later ones equal to it, byte by byte."""
-    key, own = None, set()
+    key, own = None, None
     for batch in tidily(batches):
         found = []
-        for a, b, slot, later, i, part, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if (a, b, slot) != key:
-                key, own = (a, b, slot), set()
+        for a, b, slot, later, i, start, end, text in zip(*(c.to_pylist() for c in batch.columns)):
             if not later:
-                own.add(text)
-            elif text in own:
-                found.append((i, part))
+                key, own = (a, b, slot), text
+            elif (a, b, slot) == key and text == own:
+                found.append((i, start, end))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["id", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["id", "start", "end"])
 
 
-def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 2, mean_lines: int = 4, most_lines: int = 64) -> DataFrame:
+def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 2, apart: int = 2) -> DataFrame:
     """documents with text_col rewritten and a column removed_spans added (array of start, end: characters
     of the original text, in order): of equal multi-line chunks the first by id, then place, stays.
 
-    Lines end at \\n and are compared as they are. A chunk ends where the rolling hash of the last ``window`` lines is a
-    multiple of ``mean_lines``, but not after its first line or before the text's last, or after ``most_lines``; a text of a single line stays always. Null text stays null, an empty one
-    empty; a row whose id is null keeps its text. Rows with one id are rows of their own, in the order of a hash of their texts.
-    Other columns stay as they are; an empty table gives an empty result. Digests of 128 bits are shuffled, then the bytes of
-    chunks that occur again; many copies of one chunk are compared in 16 slots, each with the first beside it.
+    Lines end at \\n and are compared as they are. A chunk ends where the rolling hash of the last ``window`` lines is the least
+    of those less than ``apart`` lines away, so every 2 * apart - 1 lines on average, but not one line off the text's beginning or end; a text of a single line
+    stays always. Chunks have no greatest length: lines that are all alike may be one. Null text stays null, an empty one empty; a row whose id is
+    null keeps its text. Rows with one id are rows of their own, in the order of a hash of their texts.
+    Other columns stay as they are; an empty table gives an empty result. Digests of 64 bits are shuffled, then the bytes of
+    chunks that occur again; many copies of one chunk are dealt over several tasks, each with the first beside it.
     """
     bounded_batches(documents.sparkSession)
-    shape = (window, mean_lines, most_lines)
+    shape = (window, max(apart, 2))
     name = {c: f"c{i}" for i, c in enumerate(documents.columns)}
     docs = documents.withColumnsRenamed(name)
     docs = row_keys(docs.withColumns({"id": F.col(name[id_col]).cast("long"), "text": F.col(name[text_col]).cast("string")}).drop(name[text_col]))
     plain = docs.where("id is not null and text is not null").select("id", "text")
     parts = stored(plain.mapInArrow(partial(_digests, shape=shape), PARTS))
-    later = stored(later_occurrences(parts).withColumn("slot", F.pmod(F.xxhash64("id", "part"), F.lit(16))))
+    later = stored(later_occurrences(parts).withColumn("slot", F.pmod(F.xxhash64("id", "part"), "slots").cast("int")).drop("slots"))
     first = later.select(F.col("first_id").alias("id"), F.col("first_part").alias("part"), "first_id", "first_part", "slot").distinct()
     wanted = later.select("id", "part", "first_id", "first_part", "slot").unionByName(first)
     wanted = stored(wanted.groupBy("id").agg(F.collect_list(F.struct("part", "first_id", "first_part", "slot")).alias("parts")))
-    texts = beside_ids(plain, wanted).mapInArrow(partial(_chunk_texts, shape=shape), "first_id long, first_part long, slot long, later int, id long, part long, bytes binary")
-    gone = texts.repartition("first_id", "first_part", "slot").sortWithinPartitions("first_id", "first_part", "slot", "later").mapInArrow(_equal, "id long, part long")
-    out = without_parts(docs, gone, partial(chunk_spans, shape=shape))
-    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(name[c]).alias(c) for c in documents.columns), F.coalesce("gone", F.array().cast("array<struct<start:long,end:long>>")).alias("removed_spans"))
+    texts = beside_ids(plain, wanted, "parts", 56).mapInArrow(partial(_chunk_texts, shape=shape), CHUNKS)
+    gone = texts.repartition("first_id", "first_part", "slot").sortWithinPartitions("first_id", "first_part", "slot", "later").mapInArrow(_equal, "id long, start long, end long")
+    out = without_spans(docs, gone)
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(name[c]).alias(c) for c in documents.columns), F.coalesce("gone", F.array().cast(SPANS)).alias("removed_spans"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.components import connected_components
-from ledgerlark.llm.storage import BROADCAST_ROWS, bounded_batches, stored
+from ledgerlark.llm.storage import bounded_batches, sent_if_small, stored
 from ledgerlark.llm.text_arrays import LOWER, U64, mix, span_hashes, text_chunks, tidily, window_hashes, words
 
 LEVELS = 6
@@ -233,13 +233,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     """The pairs (id, hub) that are similar. The hub's text goes once to each task that holds members
     of it: a hub with very many members is dealt over several."""
     pairs = stored(pairs)
-    n = pairs.count()
     slots = pairs.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(16)))
     hubs = slots.select("hub", "slot").distinct().select(F.col("hub").alias("id"), "hub", "slot", F.lit(0).alias("member"))
     roles = slots.select("id", "hub", "slot", F.lit(1).alias("member")).unionByName(hubs)
-    roles = F.broadcast(roles) if n <= BROADCAST_ROWS else roles
     return stored(
-        docs.join(roles, "id")
+        docs.join(sent_if_small(roles), "id")
         .select("hub", "member", "id", "text", "slot")
         .repartition("hub", "slot")
         .sortWithinPartitions("hub", "slot", "member")

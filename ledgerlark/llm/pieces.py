@@ -78,18 +78,26 @@ Encode = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 class PieceTable:
-    """Token lists of pieces by hash, kept between batches of a worker up to ``most`` pieces."""
+    """Token lists of pieces by two 64-bit hashes, kept between batches of a worker up to ``most`` pieces."""
 
     def __init__(self, encode: Encode, most: int = 1_500_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.counts, self.at, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.checks, self.counts, self.at, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _encoded(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of pieces, and where their tokens begin in ``flat``, to which they are added."""
+        counts, flat = self.encode([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+        at = len(self.flat) + np.concatenate([[0], np.cumsum(counts)[:-1]])
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+        return counts, at
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For every piece its number of tokens and where they begin in ``flat``; unknown ones are encoded."""
         keys, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        checks = span_hashes(data, starts, ends, seed=1)
         if len(self.keys) + len(keys) > self.most:
             self.clear()
         where = np.searchsorted(self.keys, keys)
@@ -98,15 +106,17 @@ class PieceTable:
         known[inside] = self.keys[where[inside]] == keys[inside]
         if not known.all():
             new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            counts, flat = self.encode([raw[starts[k] : ends[k]] for k in first[new]])
-            at = len(self.flat) + np.concatenate([[0], np.cumsum(counts)[:-1]])
+            counts, at = self._encoded(data.tobytes(), starts[first[new]], ends[first[new]])
             self.keys = np.insert(self.keys, where[new], keys[new])
+            self.checks = np.insert(self.checks, where[new], checks[first[new]])
             self.counts = np.insert(self.counts, where[new], counts)
             self.at = np.insert(self.at, where[new], at)
-            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
             where = np.searchsorted(self.keys, keys)
-        return self.counts[where[which]], self.at[where[which]]
+        counts, at = self.counts[where[which]], self.at[where[which]]
+        other = np.flatnonzero(self.checks[where[which]] != checks)
+        if len(other):  # pieces that share one hash with another piece
+            counts[other], at[other] = self._encoded(data.tobytes(), starts[other], ends[other])
+        return counts, at
 
     def gather(self, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The tokens of pieces, one after the other."""

@@ -28,7 +28,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _with_span_text(df: DataFrame) -> DataFrame:
-    """removed_spans as text, "start-end" by commas, which every engine compares alike."""
+    """removed_spans as text, "start-end" by commas, which every engine compares alike; n_chars follows the text."""
+    changed = F.size("removed_spans") > 0
+    df = df.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
     return df.withColumns({"n_removed": F.size("removed_spans").cast("long"), "removed_spans": F.concat_ws(",", spans)})
 
@@ -97,13 +99,20 @@ SELECT j.conv_id, 't' || j.turn AS call_id, CAST(d.depth AS INT) AS depth,
   || ',"id":"t' || j.turn || '","name":' || CASE role WHEN 'user' THEN '"reply"' WHEN 'system' THEN '"instruct"' ELSE 'null' END || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS record
 FROM j LEFT JOIN d ON d.conv_id = j.conv_id AND d.turn = j.turn
 """,
-    "op6_substring_dedup": f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS part, len(string_split(text, chr(10))) AS n FROM documents),
-w AS (SELECT *, line || CASE WHEN part < n - 1 THEN chr(10) ELSE '' END AS whole, {_WORDS.format(text="line")} AS words FROM l),
-k AS (SELECT *, CAST(sum(length(whole)) OVER (PARTITION BY doc_id ORDER BY part) AS BIGINT) AS stop,
-  len(words) >= 5 AND row_number() OVER (PARTITION BY CASE WHEN len(words) >= 5 THEN array_to_string(words, ' ') END, len(words) >= 5 ORDER BY doc_id, part) > 1 AS gone FROM w),
-g AS (SELECT doc_id, coalesce(string_agg(whole, '' ORDER BY part) FILTER (NOT gone), '') AS text, coalesce(string_agg((stop - length(whole)) || '-' || stop, ',' ORDER BY part) FILTER (gone), '') AS removed_spans, count(*) FILTER (gone) AS n_removed FROM k GROUP BY 1)
-SELECT d.doc_id, g.text, d.lang, d.source, d.n_chars, g.removed_spans, g.n_removed FROM documents d JOIN g USING (doc_id)
+    "op6_substring_dedup": r"""
+WITH t AS (SELECT doc_id, text, regexp_extract(text, '^[\x20\x09-\x0D]*') AS lead, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS toks FROM documents),
+w AS (SELECT doc_id, lead, toks, list_transform(toks, lambda x: rtrim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS words FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM w WHERE len(words) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS d FROM g),
+later AS (SELECT doc_id, i FROM h QUALIFY row_number() OVER (PARTITION BY d ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM later),
+k AS (SELECT doc_id, lead, tok, i, sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) + length(lead) AS stop FROM (SELECT doc_id, lead, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS i FROM t)),
+m AS (SELECT k.*, gone.i IS NOT NULL AS gone, k.i - row_number() OVER (PARTITION BY k.doc_id, gone.i IS NOT NULL ORDER BY k.i) AS island FROM k LEFT JOIN gone USING (doc_id, i)),
+s AS (SELECT doc_id, min(stop - length(tok)) AS a, max(stop) AS b FROM m WHERE gone GROUP BY doc_id, island),
+l AS (SELECT doc_id, string_agg(CAST(a AS BIGINT) || '-' || CAST(b AS BIGINT), ',' ORDER BY a) AS removed_spans, count(*) AS n_removed FROM s GROUP BY 1),
+x AS (SELECT doc_id, any_value(lead) || coalesce(string_agg(tok, '' ORDER BY i) FILTER (NOT gone), '') AS text FROM m GROUP BY 1)
+SELECT d.doc_id, coalesce(x.text, d.text) AS text, d.lang, d.source, CASE WHEN n_removed IS NULL THEN d.n_chars ELSE length(x.text) END AS n_chars, coalesce(removed_spans, '') AS removed_spans, coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN x USING (doc_id)
 """,
     "op9_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

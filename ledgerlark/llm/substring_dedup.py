@@ -1,79 +1,172 @@
-"""Substring dedup by line or paragraph hashing."""
+"""Substring dedup by line hashing.
+
+Units are lines of a layout that depends on the words alone. White space counts as one space and A-Z as
+a-z; then, of every so many places in a row, the first one whose next words have the least hash begins a line of
+``line_words`` words. A passage falls into the same lines in every text, whatever stands around it and however its
+own lines were broken, and each run of ``least_words`` words holds one whole line at least.
+
+Digests of lines are grouped over all texts. Around the lines that occur again, and only there, the digests of
+all runs of ``least_words`` words are grouped as well: the earliest occurrence of each stays, and the words of
+later ones go once they have been compared with it.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import bounded_batches, stored
-from ledgerlark.llm.text_arrays import LOWER, U64, mix, powers, span_hashes, text_chunks, tidily, words
-from ledgerlark.llm.units import PARTS, later_occurrences, line_spans, row_keys, without_parts
+from ledgerlark.llm.text_arrays import LOWER, span_hashes, text_chunks, tidily, window_hashes, words
+from ledgerlark.llm.units import PARTS, SPANS, Spans, beside_ids, later_occurrences, repeated, row_keys, without_spans
 
+WORD = regex.compile(r"[^\x20\x09-\x0D]+")
+#: What is asked of a text: its words from a to b, as a member (later text) or the hub (first one) of a comparison.
+ASKED = "struct<a:long,b:long,hub:long,slot:int,member:int,shift:long>"
+#: A run of words: ``before`` is where it stands the last time before in its own text.
+RUNS = PARTS + ", before long"
 
-def paragraph_spans(text: str) -> list[tuple[int, int]]:
-    """Paragraphs, each with the blank lines that end it."""
-    spans, at = [], 0
-    for gap in re.finditer(r"\n(?:[\t\v\f\r ]*\n)+", text):
-        spans.append((at, gap.end()))
-        at = gap.end()
-    return [*spans, (at, len(text))]
 
+def line_starts(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places whose hash is the least, and the first such, of some ``window`` consecutive ones (Schleimer, Wilkerson, Aiken, 2003)."""
+    if len(hashes) < window:
+        return np.zeros(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(hashes, window)
+    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
 
-def _unit_ends(data: np.ndarray, unit: str) -> np.ndarray:
-    """Where in a chunk a line's newline stands, or the last of those that end a paragraph."""
-    if unit == "line":
-        return np.flatnonzero(data == 10)
-    return np.array([m.end() - 1 for m in re.finditer(rb"\n(?:[\t\v\f\r ]*\n)+", data.tobytes())], np.int64)
 
-
-def _digests(batches: Iterator[pa.RecordBatch], unit: str, least_words: int) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch], line_words: int, least_words: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> id, part (the first word's number in its text), d."""
     for batch in tidily(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for low, data, offsets in text_chunks(batch.column(1)):
             data = LOWER[data]
             starts, ends, rows = words(data, offsets)
-            if unit == "line":
-                stops = _unit_ends(data, unit)
-            else:  # row by row: blank lines at two rows' border are no gap of either
-                stops = np.concatenate([_unit_ends(data[a:b], unit) + a for a, b in zip(offsets[:-1], offsets[1:])])
-            number = np.searchsorted(stops, starts) - np.searchsorted(stops, offsets[:-1])[rows]
-            if not len(starts):
-                continue
+            hashes = window_hashes(span_hashes(data, starts, ends), line_words)
+            bounds = np.searchsorted(rows, np.arange(len(offsets)))
+            parts = [line_starts(hashes[a : b - line_words + 1], least_words - line_words + 1) if b - a >= least_words else np.zeros(0, np.int64) for a, b in zip(bounds[:-1], bounds[1:])]
+            sizes = [len(p) for p in parts]
+            if sum(sizes):
+                part, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low + row].astype(np.int64)), pa.array(part), pa.array(hashes[bounds[row] + part].view(np.int64))], ["id", "part", "d"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], line_words: int, least_words: int) -> Iterator[pa.RecordBatch]:
+    """(id, text, lines: array of line starts) -> RUNS for each run of words that holds one of the lines."""
+    for batch in tidily(batches):
+        lines = batch.column(2).to_pylist()
+        for low, data, offsets in text_chunks(batch.column(1)):
+            data = LOWER[data]
+            starts, ends, rows = words(data, offsets)
             hashes = span_hashes(data, starts, ends)
-            first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (number[1:] != number[:-1])]))
-            last = np.append(first[1:], len(starts))
-            keep = last - first >= least_words
-            first, last = first[keep], last[keep]
-            up, down = powers(len(starts) + 1)
-            digests = []
-            for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-                sums = np.zeros(len(starts) + 1, U64)
-                np.cumsum(mix(hashes ^ U64(salt)) * up[: len(starts)], out=sums[1:])
-                digests.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[low + rows[first]].astype(np.int64)), pa.array(number[first]), *map(pa.array, digests)], ["id", "part", "d1", "d2"])
-
-
-def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, unit: str = "line", least_words: int = 5) -> DataFrame:
+            bounds = np.searchsorted(rows, np.arange(len(offsets)))
+            for r in range(len(offsets) - 1):
+                own = window_hashes(hashes[bounds[r] : bounds[r + 1]], least_words)
+                near = np.zeros(len(own) + 1, np.int64)
+                at = np.array(lines[low + r])
+                np.add.at(near, np.maximum(at - (least_words - line_words), 0), 1)
+                np.add.at(near, np.minimum(at + 1, len(own)), -1)
+                place = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+                own = own[place]
+                order = np.lexsort((place, own))
+                again = np.zeros(len(own), bool)
+                again[1:] = own[order][1:] == own[order][:-1]
+                before = np.full(len(own), -1)
+                before[order[again]] = place[order[np.flatnonzero(again) - 1]]
+                ids = pa.array(np.full(len(own), batch.column(0)[low + r].as_py()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(place), pa.array(own.view(np.int64)), pa.array(before, mask=before < 0)], ["id", "part", "d", "before"])
+
+
+def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, asked: array of ASKED) -> WANTED: a row for each, the words asked for with one space between two."""
+    for batch in tidily(batches):
+        rows = []
+        for i, text, asked in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            own = text.encode().lower().split()
+            rows += [(x["hub"], x["slot"], x["member"], i, x["a"], x["shift"], b" ".join(own[x["a"] : x["b"]])) for x in asked]
+            if len(rows) >= 1_000:
+                yield _wanted_batch(rows)
+                rows = []
+        if rows:
+            yield _wanted_batch(rows)
+
+
+WANTED = "hub long, slot int, member int, id long, a long, shift long, words binary"
+
+
+def _wanted_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [c.split()[0] for c in WANTED.split(", ")])
+
+
+def equal_runs(one: list[bytes], other: list[bytes], least: int) -> list[tuple[int, int]]:
+    """Where two lists of words, side by side, are equal for ``least`` words and more."""
+    n = min(len(one), len(other))
+    if one[:n] == other[:n]:
+        return [(0, n)] if n >= least else []
+    stops = [-1, *(k for k in range(n) if one[k] != other[k]), n]
+    return [(a + 1, b) for a, b in zip(stops, stops[1:]) if b - a - 1 >= least]
+
+
+def _compared(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hub and slot with the hub's words before the members': runs (id, a, b) of members' words that the hub has."""
+    key, base, own = None, 0, []
+    for batch in tidily(batches):
+        found = []
+        for hub, slot, member, i, a, shift, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if not member:
+                key, base, own = (hub, slot), a, text.split(b" ")
+            elif (hub, slot) == key:
+                at = a - shift - base  # where the member's first word stands among the hub's
+                theirs = text.split(b" ")
+                found += [(i, a + x, a + y) for x, y in equal_runs(theirs, own[at : at + len(theirs)], least_words)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["id", "start", "end"])
+
+
+def word_spans(text: str, runs: Spans) -> Spans:
+    """Runs of words, by number, as spans of characters: each up to the next word or the text's end."""
+    at = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    return [(at[a], at[b]) for a, b in runs]
+
+
+def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = 50, line_words: int = 16) -> DataFrame:
     """documents with text_col rewritten and a column removed_spans added (array of start, end: characters
-    of the original text, in order): of equal units the earliest by id, then place, stays, and the rest go.
+    of the original text, in order): of a run of ``least_words`` words or more that stands in several places the
+    earliest by id, then place, stays, and the rest go, with the white space after them.
 
-    A unit is a line, or with unit="paragraph" what stands between blank lines. Units are equal when
-    their words are, with A-Z as a-z and any white space between. Units of fewer than ``least_words`` words stay.
-    Null text stays null, an empty one empty; a row whose id is null keeps its text. Rows with one id are rows of
-    their own, in the order of a hash of their texts. Other columns stay as they are; an empty table gives an empty result. Digests have 128 bits and only they are shuffled; then whole texts
-    are joined with the numbers of what goes.
+    Words are equal with A-Z as a-z and any white space between. A word goes if it is in a run of ``least_words`` words that
+    begins earlier as well, in an earlier text or before in its own; so a text that repeats one word keeps the first. Texts of fewer
+    words stay as they are. Null text stays null, an empty one empty; a row whose id is null keeps its text. Rows with one
+    id are rows of their own, in the order of a hash of their texts. Other columns stay as they are; an empty table gives an
+    empty result. Digests are shuffled, first one for some 18 words and then one for each word around lines that occur again, and
+    then the words that are to be compared; many copies are dealt over several tasks, each with the first beside it.
     """
+    if not 1 <= line_words <= least_words:
+        raise ValueError("a line must not be longer than the least run")
     bounded_batches(documents.sparkSession)
-    docs = documents.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(documents.columns)})
     name = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    docs = documents.withColumnsRenamed(name)
     docs = row_keys(docs.withColumns({"id": F.col(name[id_col]).cast("long"), "text": F.col(name[text_col]).cast("string")}).drop(name[text_col]))
-    parts = stored(docs.where("id is not null").select("id", "text").mapInArrow(partial(_digests, unit=unit, least_words=least_words), PARTS))
-    gone = later_occurrences(parts).select("id", "part")
-    out = without_parts(docs, gone, line_spans if unit == "line" else paragraph_spans)
-    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(name[c]).alias(c) for c in documents.columns), F.coalesce("gone", F.array().cast("array<struct<start:long,end:long>>")).alias("removed_spans"))
+    plain = docs.where("id is not null and text is not null").select("id", "text")
+    sizes = {"line_words": line_words, "least_words": least_words}
+    lines = stored(plain.mapInArrow(partial(_lines, **sizes), PARTS))
+    shared = stored(repeated(lines).groupBy("id").agg(F.collect_list("part").alias("lines")))
+    runs = stored(beside_ids(plain, shared, "lines", 8).mapInArrow(partial(_runs, **sizes), RUNS))
+    own = runs.where("before is not null").select("id", "part", F.col("id").alias("first_id"), F.col("before").alias("first_part"), F.lit(1).alias("slots"))
+    later = later_occurrences(runs.where("before is null").drop("before")).unionByName(own).withColumn("shift", F.col("part") - F.col("first_part"))
+    later = later.groupBy("id", "first_id", "shift").agg(F.min("part").alias("a"), (F.max("part") + least_words).alias("b"), F.max("slots").alias("slots"))
+    later = stored(later.withColumn("slot", F.pmod(F.xxhash64("id"), "slots").cast("int")))
+    hubs = later.groupBy("first_id", "slot").agg(F.min(F.col("a") - F.col("shift")).alias("a"), F.max(F.col("b") - F.col("shift")).alias("b"))
+    asked = later.select("id", F.struct("a", "b", F.col("first_id").alias("hub"), "slot", F.lit(1).alias("member"), "shift").cast(ASKED).alias("x"))
+    asked = asked.unionByName(hubs.select(F.col("first_id").alias("id"), F.struct("a", "b", F.col("first_id").alias("hub"), "slot", F.lit(0).alias("member"), F.lit(0).alias("shift")).cast(ASKED).alias("x")))
+    asked = stored(asked.groupBy("id").agg(F.collect_list("x").alias("asked")))
+    found = beside_ids(plain, asked, "asked", 64).mapInArrow(_asked_words, WANTED)
+    gone = found.repartition("hub", "slot").sortWithinPartitions("hub", "slot", "member").mapInArrow(partial(_compared, least_words=least_words), "id long, start long, end long")
+    out = without_spans(docs, gone, word_spans)
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(name[c]).alias(c) for c in documents.columns), F.coalesce("gone", F.array().cast(SPANS)).alias("removed_spans"))

@@ -1,5 +1,5 @@
-"""Parts of texts (lines, or runs of lines) that other texts have as well: which stay, and the texts
-without the rest. A part is named by its row's key, see ``row_keys``, and its number."""
+"""Parts of texts that other texts have as well: which stay, and the texts without the rest. A part is
+named by its row's key, see ``row_keys``, and its number."""
 
 from __future__ import annotations
 
@@ -10,11 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.storage import BROADCAST_ROWS, stored
+from ledgerlark.llm.storage import sent_if_small, stored
 from ledgerlark.llm.text_arrays import tidily
 
-#: What a part is: its place in characters is left for the text's rewriting, its bytes are given here.
-PARTS = "id long, part long, d1 long, d2 long"
+#: A part's digest only finds candidates: what goes is compared byte by byte.
+PARTS = "id long, part long, d long"
+#: Most digests that are dealt with as hot, whatever the number of rows.
+HOT_DIGESTS = 50_000
+#: Occurrences of a part that one task compares with the first.
+SLOT_ROWS = 10_000
+SPANS = "array<struct<start:long,end:long>>"
+Spans = list[tuple[int, int]]
+#: From a text and spans in some unit to spans of characters.
+Cut = Callable[[str, Spans], Spans]
 
 
 def row_keys(docs: DataFrame, column: str = "id", *, nulls: bool = False) -> DataFrame:
@@ -31,23 +39,33 @@ def row_keys(docs: DataFrame, column: str = "id", *, nulls: bool = False) -> Dat
     return stored(rows.withColumn(column, F.when(key.isNotNull() | F.lit(nulls), F.monotonically_increasing_id())))
 
 
-def later_occurrences(parts: DataFrame) -> DataFrame:
-    """(id, part, d1, d2, first_id, first_part) of each part whose digest an earlier part has, by id, then part.
+def repeated(parts: DataFrame) -> DataFrame:
+    """The parts whose digest another part has, with the earliest such part (first_id, first_part) by id, then part, and
+    slots: among how many tasks the digest's parts are to be dealt.
+
+    The earliest is found by partial minima, so a digest that very many parts share costs a row from each task. Such hot
+    digests, at most HOT_DIGESTS by their definition, are then sent to all tasks; the others meet their parts by a
+    shuffle, and none of them has many rows."""
+    first = parts.groupBy("d").agg(F.min(F.struct("id", "part")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stored(first.select("d", F.col("first.id").alias("first_id"), F.col("first.part").alias("first_part"), (1 + F.col("n") / SLOT_ROWS).cast("int").alias("slots"), "n"))
+    total = first.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(500, total // HOT_DIGESTS)
+    return parts.join(F.broadcast(first.where(hot)), "d").unionByName(parts.join(first.where(~hot), "d")).drop("d", "n")
 
-    The earliest is found by partial minima, so a digest that very many documents share costs a row from each task;
-    the join after it has one row for each digest on one side, and AQE may split the other."""
-    first = parts.groupBy("d1", "d2").agg(F.min(F.struct("id", "part")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = parts.join(first, ["d1", "d2"]).where(F.struct("id", "part") > F.col("first"))
-    return joined.select("id", "part", "d1", "d2", F.col("first.id").alias("first_id"), F.col("first.part").alias("first_part"))
 
+def later_occurrences(parts: DataFrame) -> DataFrame:
+    """Those of the repeated parts that aren't the earliest of their digest."""
+    return repeated(parts).where(F.struct("id", "part") > F.struct(F.col("first_id").alias("id"), F.col("first_part").alias("part")))
 
-def beside_ids(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
-    """docs joined to rows by id. Rows are sent to every executor while they are few, which saves the
-    shuffle of whole texts; beyond that both sides are shuffled by id."""
-    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "id", how)
 
+def beside_ids(docs: DataFrame, lists: DataFrame, of: str, width: int, how: str = "inner") -> DataFrame:
+    """docs joined by id to lists (id, ``of``: an array of elements of ``width`` bytes), which are sent to every executor while they are
+    small; that saves the shuffle of whole texts. Beyond that both sides are shuffled by id."""
+    return docs.join(sent_if_small(lists, F.size(of) * width), "id", how)
 
-Cut = Callable[[str], list[tuple[int, int]]]
+
+def as_they_are(text: str, spans: Spans) -> Spans:
+    return spans
 
 
 def _without(batches: Iterator[pa.RecordBatch], cut: Cut) -> Iterator[pa.RecordBatch]:
@@ -55,30 +73,29 @@ def _without(batches: Iterator[pa.RecordBatch], cut: Cut) -> Iterator[pa.RecordB
         names = batch.schema.names
         texts, gone = batch.column(names.index("text")).to_pylist(), batch.column(names.index("gone")).to_pylist()
         left, spans = [], []
-        for text, numbers in zip(texts, gone):
-            if not numbers:
-                left.append(text)
-                spans.append([])
-                continue
-            parts = cut(text)
-            numbers = sorted(set(numbers))
-            spans.append([{"start": parts[k][0], "end": parts[k][1]} for k in numbers])
-            kept, at = [], 0
-            for k in numbers:
-                kept.append(text[at : parts[k][0]])
-                at = parts[k][1]
-            left.append("".join([*kept, text[at:]]))
+        for text, own in zip(texts, gone):
+            kept, at, merged = [], 0, []
+            for s in sorted(cut(text, [(s["start"], s["end"]) for s in own]) if own else ()):
+                if merged and s[0] <= merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(s[1], merged[-1][1]))
+                else:
+                    merged.append(s)
+            for a, b in merged:
+                kept.append(text[at:a])
+                at = b
+            left.append(text if not merged else "".join([*kept, text[at:]]))
+            spans.append([{"start": a, "end": b} for a, b in merged])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         columns = [pa.array(left, pa.string()) if n == "text" else pa.array(spans, kind) if n == "gone" else batch.column(k) for k, n in enumerate(names)]
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def without_parts(docs: DataFrame, gone: DataFrame, cut: Cut) -> DataFrame:
-    """docs (id, text, further columns) without the parts in gone (id, part). A part goes with the
-    newline after it. Column gone then holds the removed spans, in characters of the original text."""
-    lists = stored(gone.groupBy("id").agg(F.collect_set("part").alias("gone")))
-    joined = beside_ids(docs, lists, "left")
-    fields = ", ".join(f"`{f.name}` {'array<struct<start:long,end:long>>' if f.name == 'gone' else f.dataType.simpleString()}" for f in joined.schema)
+def without_spans(docs: DataFrame, gone: DataFrame, cut: Cut = as_they_are) -> DataFrame:
+    """docs (id, text, further columns) without the spans in gone (id, start, end: characters of the text, or what
+    ``cut`` makes them of). Spans that meet or overlap are one. Column gone then holds the removed spans, in order."""
+    lists = stored(gone.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("gone")))
+    joined = beside_ids(docs, lists, "gone", 32, "left")
+    fields = ", ".join(f"`{f.name}` {SPANS if f.name == 'gone' else f.dataType.simpleString()}" for f in joined.schema)
     return joined.mapInArrow(partial(_without, cut=cut), fields)
 
 

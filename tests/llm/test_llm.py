@@ -244,31 +244,86 @@ def plain_units(rows, spans_of, key_of):
     return sorted(out, key=repr)
 
 
-def unit_key(unit):
-    words = tuple(WORD.findall(lower(unit)))
-    return words if len(words) >= 5 else None
-
-
-@pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_substring_dedup(spark, unit):
-    rows = [*enumerate(lined_corpus()), (None, "a b c d e f")]
-    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, id int, part int, gone int")
-    found = substring_dedup.substring_dedup(df, unit=unit).collect()
-    spans = substring_dedup.paragraph_spans if unit == "paragraph" else substring_dedup.line_spans
-    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == plain_units(rows, spans, unit_key)
+def plain_passages(rows, least=50):
+    """Without the words of each run of ``least`` words that begins earlier too; words go with the white space after them."""
+    seen, out = set(), []
+    for i, text in rows:
+        if text is None or i is None:
+            out.append((i, text))
+            continue
+        parts = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)
+        words, gone = WORD.findall(lower(text)), set()
+        for k in range(len(words) - least + 1):
+            run = tuple(words[k : k + least])
+            if run in seen:
+                gone.update(range(k, k + least))
+            seen.add(run)
+        head = text[: len(text) - sum(map(len, parts))]
+        out.append((i, head + "".join(p for k, p in enumerate(parts) if k not in gone)))
+    return sorted(out, key=repr)
+
+
+def passage_corpus(seed=4):
+    """Passages of 20 to 120 words inside other lines, wrapped anew, in capitals, edited, repeated inside a text and word by word."""
+    rng = random.Random(seed)
+    passages = [prose(rng, n, 10**6) for n in (20, 49, 50, 51, 60, 75, 90, 120)]
+    texts = [None, "", "\n \n", "a b c", "spam " * 300, "Spam\n" * 70, "x y z " * 60, passages[3]]
+    for k in range(60):
+        parts = [prose(rng, rng.randrange(40), 10**6)]
+        for p in rng.sample(passages, rng.randrange(1, 4)):
+            words = p.split()
+            if k % 5 == 0:
+                words[rng.randrange(len(words))] = "edited"
+            p = "".join(w + rng.choice([" ", " ", "\n", "\t \r\n"]) for w in words) if k % 3 else " ".join(words)
+            parts += [p.upper() if k % 4 == 0 else p, prose(rng, rng.randrange(40), 10**6)]
+        texts.append(rng.choice([" ", "\n"]).join(parts))
+    whole = prose(rng, 400, 10**6)
+    return [*texts, whole, whole, " ".join(["n", *whole.split()[7:130], "m", *whole.split()[90:320]]), f"{passages[7]} {passages[7]} {passages[7]}", prose(rng, 30_000, 10**6) + " " + passages[6]]
+
+
+def test_substring_dedup(spark):
+    rows = [*enumerate(passage_corpus()), (None, passage_corpus()[-2]), (10**6, "äöü " * 49 + "äöü")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, id int, part int, gone int").repartition(5)
+    found = substring_dedup.substring_dedup(df).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == plain_passages(rows)
     originals = dict(rows)
     for r in found:  # the spans and what is left make up the original
+        assert (r.id, r.part, r.gone) == (1, 2, 3)
         if r.text is not None:
-            assert (r.id, r.part, r.gone) == (1, 2, 3)
-            assert len(r.text) + sum(s.end - s.start for s in r.removed_spans) == len(originals[r.doc_id])
+            left, at = "", 0
+            for s in r.removed_spans:
+                left, at = left + originals[r.doc_id][at : s.start], s.end
+            assert left + originals[r.doc_id][at:] == r.text
     assert substring_dedup.substring_dedup(df.limit(0)).count() == 0
 
 
+def test_shorter_passages(spark):
+    rows = [*enumerate(passage_corpus(8))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.substring_dedup(df, least_words=20, line_words=5).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == plain_passages(rows, 20)
+
+
+def test_many_copies_are_dealt(spark, monkeypatch):
+    """Hot digests take the other join, and their copies are compared in several slots."""
+    from ledgerlark.llm import units
+
+    monkeypatch.setattr(units, "SLOT_ROWS", 100)
+    rng = random.Random(6)
+    passage = prose(rng, 60, 10**6)
+    rows = [(i, f"{prose(rng, 5, 10**6)} {passage} {i}") for i in range(700)]
+    found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == plain_passages(rows)
+    lined = [(i, t.replace(" ", "\n")) for i, t in rows]
+    found = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(lined, "doc_id long, text string")).collect()}
+    assert all(len(found[i].split()) < 25 for i in range(1, 700)) and found[0] == lined[0][1]
+
+
 @pytest.mark.parametrize("dedup", [substring_dedup.substring_dedup, line_dedup.line_dedup])
 def test_rows_that_share_an_id(spark, dedup):
     """One row's parts don't go from the others of its id, and of rows equal in id and text one stays."""
     rng = random.Random(12)
-    a, b, c = ("\n".join(prose(rng, 6, 10**6) for _ in range(2)) + "\n" for _ in range(3))
+    a, b, c = ("\n".join(prose(rng, 30, 10**6) for _ in range(2)) + "\n" for _ in range(3))
     rows = [(1, a), (2, a), (2, b), (2, None), (2, ""), (3, c), (3, c), (3, c), (None, a), (None, a)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, id int").repartition(3)
     found = [(r.doc_id, r.text) for r in dedup(df).collect()]
@@ -284,7 +339,15 @@ def test_line_dedup(spark):
         chunk = chunk.removesuffix("\n")
         return chunk if "\n" in chunk else None
 
-    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == plain_units(rows, lambda t: line_dedup.chunk_spans(t, (2, 4, 64)), key)
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == plain_units(rows, lambda t: line_dedup.chunk_spans(t, (2, 2)), key)
+    seen = []
+    for r in sorted((r for r in found if r.doc_id is not None), key=lambda r: r.doc_id):  # whatever the chunks are: what goes are whole lines that stand before
+        text = dict(rows)[r.doc_id]
+        for s in r.removed_spans:
+            chunk = "\n" + text[s.start : s.end].removesuffix("\n") + "\n"
+            assert chunk.count("\n") > 2 and (s.start == 0 or text[s.start - 1] == "\n")
+            assert any(chunk in "\n" + t + "\n" for t in seen) or chunk in "\n" + text[: s.start]
+        seen.append(text or "")
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
@@ -294,7 +357,7 @@ def test_chunk_bounds_shift_with_the_lines():
     more = np.concatenate([rng.integers(0, 2**63, 3).astype(np.uint64), lines])
 
     def chunks(hashes):
-        bounds = line_dedup.chunk_bounds(hashes, (2, 4, 64)).tolist()
+        bounds = line_dedup.chunk_bounds(hashes, (2, 2)).tolist()
         return {tuple(hashes[a:b]) for a, b in zip(bounds, [*bounds[1:], len(hashes)])}
 
     base, moved = chunks(lines), chunks(more)
@@ -305,9 +368,19 @@ def test_no_chunk_of_a_single_line():
     rng = np.random.default_rng(4)
     for n in (*range(2, 80), 129, 193, 500):
         for hashes in (rng.integers(0, 2**63, n).astype(np.uint64), np.full(n, rng.integers(2**63), np.uint64)):
-            for shape in ((2, 4, 64), (2, 1, 64), (3, 10**6, 5)):
-                sizes = np.diff([*line_dedup.chunk_bounds(hashes, shape), n])
-                assert 2 <= sizes.min() and sizes.max() <= shape[2]
+            for shape in ((2, 2), (1, 2), (3, 4)):
+                assert np.diff([*line_dedup.chunk_bounds(hashes, shape), n]).min() >= 2
+
+
+def test_shared_runs_of_lines_go(spark):
+    """Of passages of ten lines inside different texts most lines go; a long run of lines needs no boundary in it."""
+    rng = random.Random(13)
+    passage = [prose(rng, 5, 10**6) for _ in range(10)]
+    texts = ["\n".join([*(prose(rng, 5, 10**6) for _ in range(rng.randrange(1, 9))), *passage, *(prose(rng, 5, 10**6) for _ in range(rng.randrange(1, 9)))]) for _ in range(40)]
+    found = line_dedup.line_dedup(docs(spark, [*texts, "x\n" * 3000, "x\n" * 3000])).collect()
+    left = [sum(line in r.text.split("\n") for line in passage) for r in found if 0 < r.doc_id < 40]
+    assert sum(left) < 0.5 * 10 * 39
+    assert {r.doc_id: r.text for r in found}[41] == ""
 
 
 def test_copies_go_wholly(spark):
@@ -479,6 +552,53 @@ def test_long_chains_and_conversations(spark):
 # --- text arrays ---
 
 
+def thue_morse(n, a="a", b="b"):
+    """Sequences on which polynomials modulo 2**64 meet whatever their odd base."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+def test_hashes_of_structured_words(spark):
+    for n in (16, 64, 256, 512, 1024, 4096):
+        one, other = thue_morse(n)
+        data = np.frombuffer((one + other).encode(), np.uint8)
+        assert len(set(text_arrays.span_hashes(data, np.array([0, n]), np.array([n, 2 * n])).tolist())) == 2
+    words = [f"{'x' * k}" for k in range(1, 600)] + [f"{'y' * k}z" for k in range(1, 600)]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    assert len(set(text_arrays.span_hashes(data, ends - [len(w) for w in words], ends).tolist())) == len(words)
+
+
+def test_structured_texts(spark):
+    """Words and lines in the order of Thue and Morse are told apart by every operator that hashes them."""
+    word = thue_morse(1024)
+    lines = [t.replace("a", "first line\n").replace("b", "second one\n") for t in thue_morse(256)]
+    texts = [*word, *lines]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs(spark, texts), path).collect()} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for r in packing.best_fit_packing(docs(spark, texts), path, length=4096).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array([*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted(((r.doc_id, r.text) for r in substring_dedup.substring_dedup(docs(spark, texts)).collect()), key=repr) == plain_passages(list(enumerate(texts)))
+    rows = list(enumerate(texts))
+    assert sorted(tuple(r) for r in ngram_jaccard.ngram_jaccard_components(docs(spark, texts)).collect()) == jaccard_components(rows)
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    """The second hash tells them apart."""
+    from ledgerlark.llm import pieces
+
+    monkeypatch.setattr(pieces, "span_hashes", lambda data, a, b, seed=0: (b - a).astype(np.uint64) if not seed else text_arrays.span_hashes(data, a, b, seed))
+    table = pieces.PieceTable(lambda ps: (np.array([len(set(p)) for p in ps], np.int32), np.array([x for p in ps for x in sorted(set(p))], np.int32)))
+    for _ in range(2):
+        data = np.frombuffer(b"aabbabcaab", np.uint8)
+        a, b = np.array([0, 2, 4, 7]), np.array([2, 4, 7, 10])
+        counts, at = table.look_up(data, a, b)
+        assert counts.tolist() == [1, 1, 3, 2] and bytes(table.gather(counts, at).astype(np.uint8).tolist()) == b"ababcab"
+
+
 def test_words_over_chunks():
     import pyarrow as pa
 

@@ -2,14 +2,14 @@
 
 import re
 
-from tests.llm.test_llm import DOC, jaccard_components, lined_corpus, plain_statistics, plain_units, unit_key
+from tests.llm.test_llm import DOC, jaccard_components, lined_corpus, passage_corpus, plain_passages, plain_statistics, plain_units
 
 import corpus_pipeline
-from ledgerlark.llm import line_dedup, units
+from ledgerlark.llm import line_dedup
 
 
 def test_stages(spark):
-    texts = lined_corpus() + [" ".join(f"k{i}x{j}" for j in range(80)) for i in range(3)]
+    texts = lined_corpus() + [t for t in passage_corpus() if len(t or "") < 9000] + [" ".join(f"k{i}x{j}" for j in range(80)) for i in range(3)]
     texts += [texts[-1], texts[-1].replace("k2x5 ", "changed ")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOC)
     stages = [f for _, f in corpus_pipeline.STAGES]
@@ -28,7 +28,7 @@ def test_stages(spark):
         return text if "\n" in text else None
 
     lined = stages[1](spark, spark.createDataFrame(good.collect(), good.schema), "")
-    want = [(i, t) for i, t in plain_units(rows, lambda t: line_dedup.chunk_spans(t, (2, 4, 64)), chunk) if t]
+    want = [(i, t) for i, t in plain_units(rows, lambda t: line_dedup.chunk_spans(t, (2, 2)), chunk) if t.strip()]
     assert sorted((r.doc_id, r.text) for r in lined.collect()) == sorted(want) and tuple(lined.columns) == corpus_pipeline.COLUMNS
     assert all(r.n_chars == len(r.text) for r in lined.collect())
 
@@ -38,7 +38,7 @@ def test_stages(spark):
     rows = sorted((i, t) for i, t in want if i in kept)
 
     cut = stages[3](spark, spark.createDataFrame(one.collect(), one.schema), "")
-    want = [(i, t) for i, t in plain_units(rows, units.line_spans, unit_key) if t]
+    want = [(i, t) for i, t in plain_passages(rows) if t.strip()]
     assert sorted((r.doc_id, r.text) for r in cut.collect()) == sorted(want)
 
     packed = stages[4](spark, spark.createDataFrame(cut.collect(), cut.schema), "").collect()
