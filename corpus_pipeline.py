@@ -16,7 +16,7 @@ from ledgerlark.llm.line_dedup import line_dedup
 from ledgerlark.llm.ngram_jaccard import ngram_jaccard_components
 from ledgerlark.llm.packing import best_fit_packing
 from ledgerlark.llm.quality_rules import quality_verdicts
-from ledgerlark.llm.storage import stored
+from ledgerlark.llm.storage import sent_if_small, stored
 from ledgerlark.llm.substring_dedup import substring_dedup
 from ledgerlark.llm.units import row_keys
 
@@ -24,20 +24,23 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _rewritten(docs: DataFrame) -> DataFrame:
-    """docs with n_chars brought up to date, without those that have lost their whole text."""
-    gone = (F.length("text") == 0) & (F.size("removed_spans") > 0)
-    return docs.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+    """docs with n_chars brought up to date where the text has changed, without those that have lost all their words.
+    Rows with a null text or id, empty texts and repeated rows come through as the operator before gives them."""
+    changed = F.size("removed_spans") > 0
+    gone = changed & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return docs.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; each row has its own verdict, with any id or none."""
     docs = row_keys(docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("row")), "row", nulls=True)
     bad = stored(quality_verdicts(docs, keep=("row",)).where("not kept").select("row"))
-    bad = F.broadcast(bad) if bad.count() <= 1_000_000 else bad
-    return docs.join(bad, "row", "left_anti").select(*COLUMNS)
+    return docs.join(sent_if_small(bad), "row", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the later of equal chunks of lines; what has no word left goes. Null, empty and repeated rows: see line_dedup."""
     return _rewritten(line_dedup(docs))
 
 
@@ -47,15 +50,17 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     docs = row_keys(docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("row")), "row")
     groups = ngram_jaccard_components(docs, "row")
     other = stored(groups.where("row <> component_id").select("row").distinct())
-    other = F.broadcast(other) if other.count() <= 1_000_000 else other
-    return docs.join(other, "row", "left_anti").select(*COLUMNS)
+    return docs.join(sent_if_small(other), "row", "left_anti").select(*COLUMNS)
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the later of equal passages of 50 words and more; what has no word left goes. Null, empty and repeated
+    rows: see substring_dedup."""
     return _rewritten(substring_dedup(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows as pieces in sequences of 1024 tokens; a null or empty text is one piece, the end id alone."""
     return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -63,7 +68,7 @@ STAGES = [
     ("quality rules", keep_good),
     ("line dedup", drop_repeated_chunks),
     ("n-gram Jaccard join", keep_one_of_each_group),
-    ("substring dedup", drop_repeated_lines),
+    ("substring dedup", drop_repeated_passages),
     ("best-fit packing", pack),
 ]
 
@@ -72,6 +77,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; an empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
