@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import bounded_batches, stored
 from ledgerlark.llm.text_arrays import U64, span_hashes, text_chunks, tidily, window_hashes
-from ledgerlark.llm.units import PARTS, SPANS, beside_ids, later_occurrences, line_spans, row_keys, without_spans
+from ledgerlark.llm.units import PARTS, SPANS, beside_ids, is_later, line_spans, repeated, row_keys, slot, without_spans
 
 Shape = tuple[int, int]
 
@@ -133,7 +133,7 @@ def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = row_keys(docs.withColumns({"id": F.col(name[id_col]).cast("long"), "text": F.col(name[text_col]).cast("string")}).drop(name[text_col]))
     plain = docs.where("id is not null and text is not null").select("id", "text")
     parts = stored(plain.mapInArrow(partial(_digests, shape=shape), PARTS))
-    later = stored(later_occurrences(parts).withColumn("slot", F.pmod(F.xxhash64("id", "part"), "slots").cast("int")).drop("slots"))
+    later = stored(repeated(parts).where(is_later()).withColumn("slot", slot("id", "part")).drop("n"))
     first = later.select(F.col("first_id").alias("id"), F.col("first_part").alias("part"), "first_id", "first_part", "slot").distinct()
     wanted = later.select("id", "part", "first_id", "first_part", "slot").unionByName(first)
     wanted = stored(wanted.groupBy("id").agg(F.collect_list(F.struct("part", "first_id", "first_part", "slot")).alias("parts")))

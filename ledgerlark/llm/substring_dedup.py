@@ -5,9 +5,10 @@ a-z; then, of every so many places in a row, the first one whose next words have
 ``line_words`` words. A passage falls into the same lines in every text, whatever stands around it and however its
 own lines were broken, and each run of ``least_words`` words holds one whole line at least.
 
-Digests of lines are grouped over all texts. Around the lines that occur again, and only there, the digests of
-all runs of ``least_words`` words are grouped as well: the earliest occurrence of each stays, and the words of
-later ones go once they have been compared with it.
+Digests of lines are grouped over all texts, and words around a later line are compared with those around the
+first: where ``least_words`` or more are equal, they go from the later text. A line may stand first in a text that has less
+in common than another. So where a line stands in three texts or more, the digests of all runs of
+``least_words`` words around its later places that haven't gone are grouped and compared in the same way.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import bounded_batches, stored
 from ledgerlark.llm.text_arrays import LOWER, span_hashes, text_chunks, tidily, window_hashes, words
-from ledgerlark.llm.units import PARTS, SPANS, Spans, beside_ids, later_occurrences, repeated, row_keys, without_spans
+from ledgerlark.llm.units import PARTS, SPANS, Spans, beside_ids, is_later, repeated, row_keys, slot, without_spans
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 #: What is asked of a text: its words from a to b, as a member (later text) or the hub (first one) of a comparison.
 ASKED = "struct<a:long,b:long,hub:long,slot:int,member:int,shift:long>"
-#: A run of words: ``before`` is where it stands the last time before in its own text.
-RUNS = PARTS + ", before long"
+#: A line or run by its first word's number; ``before`` is where it stands the last time before in its own text.
+PLACES = PARTS + ", before long"
 
 
 def line_starts(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -40,46 +41,54 @@ def line_starts(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(view.argmin(axis=1) + np.arange(len(view)))
 
 
+def _places(i: int | None, place: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    """PLACES of one text."""
+    order = np.lexsort((place, hashes))
+    again = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
+    before = np.full(len(place), -1)
+    before[order[again + 1]] = place[order[again]]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(place), i)), pa.array(place), pa.array(hashes.view(np.int64)), pa.array(before, mask=before < 0)], ["id", "part", "d", "before"])
+
+
+def _hashed_words(column: pa.Array) -> Iterator[np.ndarray]:
+    """The hashes of each text's words, in order."""
+    for _, data, offsets in text_chunks(column):
+        data = LOWER[data]
+        starts, ends, rows = words(data, offsets)
+        hashes = span_hashes(data, starts, ends)
+        bounds = np.searchsorted(rows, np.arange(len(offsets)))
+        yield from (hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:]))
+
+
 def _lines(batches: Iterator[pa.RecordBatch], line_words: int, least_words: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> id, part (the first word's number in its text), d."""
+    """(id, text) -> PLACES of the lines."""
     for batch in tidily(batches):
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for low, data, offsets in text_chunks(batch.column(1)):
-            data = LOWER[data]
-            starts, ends, rows = words(data, offsets)
-            hashes = window_hashes(span_hashes(data, starts, ends), line_words)
-            bounds = np.searchsorted(rows, np.arange(len(offsets)))
-            parts = [line_starts(hashes[a : b - line_words + 1], least_words - line_words + 1) if b - a >= least_words else np.zeros(0, np.int64) for a, b in zip(bounds[:-1], bounds[1:])]
-            sizes = [len(p) for p in parts]
-            if sum(sizes):
-                part, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[low + row].astype(np.int64)), pa.array(part), pa.array(hashes[bounds[row] + part].view(np.int64))], ["id", "part", "d"])
+        out = []
+        for i, own in zip(batch.column(0).to_pylist(), _hashed_words(batch.column(1))):
+            if len(own) >= least_words:
+                lines = window_hashes(own, line_words)
+                at = line_starts(lines, least_words - line_words + 1)
+                out.append(_places(i, at, lines[at]))
+        yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], line_words: int, least_words: int) -> Iterator[pa.RecordBatch]:
-    """(id, text, lines: array of line starts) -> RUNS for each run of words that holds one of the lines."""
+    """(id, text, lines: array of line starts, gone: array of runs) -> PLACES of the runs that hold one of the lines and haven't gone."""
     for batch in tidily(batches):
-        lines = batch.column(2).to_pylist()
-        for low, data, offsets in text_chunks(batch.column(1)):
-            data = LOWER[data]
-            starts, ends, rows = words(data, offsets)
-            hashes = span_hashes(data, starts, ends)
-            bounds = np.searchsorted(rows, np.arange(len(offsets)))
-            for r in range(len(offsets) - 1):
-                own = window_hashes(hashes[bounds[r] : bounds[r + 1]], least_words)
-                near = np.zeros(len(own) + 1, np.int64)
-                at = np.array(lines[low + r])
-                np.add.at(near, np.maximum(at - (least_words - line_words), 0), 1)
-                np.add.at(near, np.minimum(at + 1, len(own)), -1)
-                place = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-                own = own[place]
-                order = np.lexsort((place, own))
-                again = np.zeros(len(own), bool)
-                again[1:] = own[order][1:] == own[order][:-1]
-                before = np.full(len(own), -1)
-                before[order[again]] = place[order[np.flatnonzero(again) - 1]]
-                ids = pa.array(np.full(len(own), batch.column(0)[low + r].as_py()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(place), pa.array(own.view(np.int64)), pa.array(before, mask=before < 0)], ["id", "part", "d", "before"])
+        out = []
+        for i, own, lines, gone in zip(batch.column(0).to_pylist(), _hashed_words(batch.column(1)), *(batch.column(k).to_pylist() for k in (2, 3))):
+            runs = window_hashes(own, least_words)
+            ends = np.zeros(len(runs) + 1, np.int64)
+            at = np.array(lines)
+            np.add.at(ends, np.maximum(at - (least_words - line_words), 0), 1)
+            np.add.at(ends, np.minimum(at + 1, len(runs)), -1)
+            open_ = np.cumsum(ends)[:-1] > 0
+            for s in gone or ():
+                open_[s["start"] : s["end"] - least_words + 1] = False
+            place = np.flatnonzero(open_)
+            if len(place):
+                out.append(_places(i, place, runs[place]))
+        yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
 
 
 def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +97,7 @@ def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, text, asked in zip(*(batch.column(k).to_pylist() for k in range(3))):
             own = text.encode().lower().split()
-            rows += [(x["hub"], x["slot"], x["member"], i, x["a"], x["shift"], b" ".join(own[x["a"] : x["b"]])) for x in asked]
+            rows += [(x["hub"], x["slot"], x["member"], i, max(x["a"], 0), x["shift"], b" ".join(own[max(x["a"], 0) : x["b"]])) for x in asked]
             if len(rows) >= 1_000:
                 yield _wanted_batch(rows)
                 rows = []
@@ -123,7 +132,7 @@ def _compared(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[p
                 key, base, own = (hub, slot), a, text.split(b" ")
             elif (hub, slot) == key:
                 at = a - shift - base  # where the member's first word stands among the hub's
-                theirs = text.split(b" ")
+                theirs, a, at = text.split(b" ")[max(0, -at) :], a + max(0, -at), max(0, at)
                 found += [(i, a + x, a + y) for x, y in equal_runs(theirs, own[at : at + len(theirs)], least_words)]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["id", "start", "end"])
@@ -135,6 +144,24 @@ def word_spans(text: str, runs: Spans) -> Spans:
     return [(at[a], at[b]) for a, b in runs]
 
 
+def _equal_words(plain: DataFrame, places: DataFrame, size: int, least_words: int) -> tuple[DataFrame, DataFrame]:
+    """Of PLACES of ``size`` words: those that another place's digest equals, and the runs (id, start, end) of ``least_words`` words
+    and more that stand at or around a place and also around the first such place, or the last one before in its own text."""
+    same = stored(repeated(places, F.max(F.col("before").isNotNull()).alias("within")))
+    own = F.col("before").isNotNull()
+    later = same.where(own | is_later()).select("id", "part", F.when(own, F.col("id")).otherwise(F.col("first_id")).alias("hub"), (F.col("part") - F.coalesce("before", "first_part")).alias("shift"), F.when(own, 1).otherwise(F.col("n")).alias("n"))
+    around = least_words - size
+    later = later.groupBy("id", "hub", "shift").agg((F.min("part") - around).alias("a"), (F.max("part") + size + around).alias("b"), F.max("n").alias("n"))
+    later = stored(later.withColumn("slot", slot("id")).drop("n"))
+    hubs = later.groupBy("hub", "slot").agg(F.min(F.col("a") - F.col("shift")).alias("a"), F.max(F.col("b") - F.col("shift")).alias("b"))
+    asked = later.select("id", F.struct("a", "b", "hub", "slot", F.lit(1).alias("member"), "shift").cast(ASKED).alias("x"))
+    asked = asked.unionByName(hubs.select(F.col("hub").alias("id"), F.struct("a", "b", "hub", "slot", F.lit(0).alias("member"), F.lit(0).alias("shift")).cast(ASKED).alias("x")))
+    asked = stored(asked.groupBy("id").agg(F.collect_list("x").alias("asked")))
+    found = beside_ids(plain, asked, "asked", 64).mapInArrow(_asked_words, WANTED)
+    found = found.repartition("hub", "slot").sortWithinPartitions("hub", "slot", "member").mapInArrow(partial(_compared, least_words=least_words), "id long, start long, end long")
+    return same, stored(found)
+
+
 def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = 50, line_words: int = 16) -> DataFrame:
     """documents with text_col rewritten and a column removed_spans added (array of start, end: characters
     of the original text, in order): of a run of ``least_words`` words or more that stands in several places the
@@ -144,8 +171,8 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     begins earlier as well, in an earlier text or before in its own; so a text that repeats one word keeps the first. Texts of fewer
     words stay as they are. Null text stays null, an empty one empty; a row whose id is null keeps its text. Rows with one
     id are rows of their own, in the order of a hash of their texts. Other columns stay as they are; an empty table gives an
-    empty result. Digests are shuffled, first one for some 18 words and then one for each word around lines that occur again, and
-    then the words that are to be compared; many copies are dealt over several tasks, each with the first beside it.
+    empty result. A digest for some 18 words is shuffled, then the words around lines that occur again, then digests where
+    that doesn't decide; many copies are dealt over several tasks, each with the first beside it.
     """
     if not 1 <= line_words <= least_words:
         raise ValueError("a line must not be longer than the least run")
@@ -155,18 +182,11 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     docs = row_keys(docs.withColumns({"id": F.col(name[id_col]).cast("long"), "text": F.col(name[text_col]).cast("string")}).drop(name[text_col]))
     plain = docs.where("id is not null and text is not null").select("id", "text")
     sizes = {"line_words": line_words, "least_words": least_words}
-    lines = stored(plain.mapInArrow(partial(_lines, **sizes), PARTS))
-    shared = stored(repeated(lines).groupBy("id").agg(F.collect_list("part").alias("lines")))
-    runs = stored(beside_ids(plain, shared, "lines", 8).mapInArrow(partial(_runs, **sizes), RUNS))
-    own = runs.where("before is not null").select("id", "part", F.col("id").alias("first_id"), F.col("before").alias("first_part"), F.lit(1).alias("slots"))
-    later = later_occurrences(runs.where("before is null").drop("before")).unionByName(own).withColumn("shift", F.col("part") - F.col("first_part"))
-    later = later.groupBy("id", "first_id", "shift").agg(F.min("part").alias("a"), (F.max("part") + least_words).alias("b"), F.max("slots").alias("slots"))
-    later = stored(later.withColumn("slot", F.pmod(F.xxhash64("id"), "slots").cast("int")))
-    hubs = later.groupBy("first_id", "slot").agg(F.min(F.col("a") - F.col("shift")).alias("a"), F.max(F.col("b") - F.col("shift")).alias("b"))
-    asked = later.select("id", F.struct("a", "b", F.col("first_id").alias("hub"), "slot", F.lit(1).alias("member"), "shift").cast(ASKED).alias("x"))
-    asked = asked.unionByName(hubs.select(F.col("first_id").alias("id"), F.struct("a", "b", F.col("first_id").alias("hub"), "slot", F.lit(0).alias("member"), F.lit(0).alias("shift")).cast(ASKED).alias("x")))
-    asked = stored(asked.groupBy("id").agg(F.collect_list("x").alias("asked")))
-    found = beside_ids(plain, asked, "asked", 64).mapInArrow(_asked_words, WANTED)
-    gone = found.repartition("hub", "slot").sortWithinPartitions("hub", "slot", "member").mapInArrow(partial(_compared, least_words=least_words), "id long, start long, end long")
+    lines = stored(plain.mapInArrow(partial(_lines, **sizes), PLACES))
+    same, gone = _equal_words(plain, lines, line_words, least_words)
+    open_ = same.where(F.col("within") | (is_later() & (F.col("n") > 2))).groupBy("id").agg(F.collect_list("part").alias("lines"))
+    open_ = stored(open_.join(gone.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "id", "left"))
+    runs = beside_ids(plain, open_, "lines", 16).mapInArrow(partial(_runs, **sizes), PLACES)
+    gone = gone.unionByName(_equal_words(plain, stored(runs), least_words, least_words)[1])
     out = without_spans(docs, gone, word_spans)
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col(name[c]).alias(c) for c in documents.columns), F.coalesce("gone", F.array().cast(SPANS)).alias("removed_spans"))

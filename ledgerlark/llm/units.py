@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import sent_if_small, stored
@@ -18,7 +19,7 @@ PARTS = "id long, part long, d long"
 #: Most digests that are dealt with as hot, whatever the number of rows.
 HOT_DIGESTS = 50_000
 #: Occurrences of a part that one task compares with the first.
-SLOT_ROWS = 10_000
+SLOT_ROWS = 500
 SPANS = "array<struct<start:long,end:long>>"
 Spans = list[tuple[int, int]]
 #: From a text and spans in some unit to spans of characters.
@@ -39,23 +40,28 @@ def row_keys(docs: DataFrame, column: str = "id", *, nulls: bool = False) -> Dat
     return stored(rows.withColumn(column, F.when(key.isNotNull() | F.lit(nulls), F.monotonically_increasing_id())))
 
 
-def repeated(parts: DataFrame) -> DataFrame:
-    """The parts whose digest another part has, with the earliest such part (first_id, first_part) by id, then part, and
-    slots: among how many tasks the digest's parts are to be dealt.
+def repeated(parts: DataFrame, *more: Column) -> DataFrame:
+    """The parts whose digest another part has, with the earliest such part (first_id, first_part) by id, then part, their
+    number n, and further aggregates of them.
 
     The earliest is found by partial minima, so a digest that very many parts share costs a row from each task. Such hot
     digests, at most HOT_DIGESTS by their definition, are then sent to all tasks; the others meet their parts by a
     shuffle, and none of them has many rows."""
-    first = parts.groupBy("d").agg(F.min(F.struct("id", "part")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = stored(first.select("d", F.col("first.id").alias("first_id"), F.col("first.part").alias("first_part"), (1 + F.col("n") / SLOT_ROWS).cast("int").alias("slots"), "n"))
+    first = parts.groupBy("d").agg(F.min(F.struct("id", "part")).alias("first"), F.count("*").alias("n"), *more).where("n > 1")
+    first = stored(first.withColumns({"first_id": F.col("first.id"), "first_part": F.col("first.part")}).drop("first"))
     total = first.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(500, total // HOT_DIGESTS)
-    return parts.join(F.broadcast(first.where(hot)), "d").unionByName(parts.join(first.where(~hot), "d")).drop("d", "n")
+    return parts.join(F.broadcast(first.where(hot)), "d").unionByName(parts.join(first.where(~hot), "d")).drop("d")
 
 
-def later_occurrences(parts: DataFrame) -> DataFrame:
-    """Those of the repeated parts that aren't the earliest of their digest."""
-    return repeated(parts).where(F.struct("id", "part") > F.struct(F.col("first_id").alias("id"), F.col("first_part").alias("part")))
+def is_later() -> Column:
+    """Whether a repeated part isn't the earliest of its digest."""
+    return F.struct("id", "part") > F.struct(F.col("first_id").alias("id"), F.col("first_part").alias("part"))
+
+
+def slot(*of: str) -> Column:
+    """Among how many tasks the n parts of a digest are dealt, and which of them is a part's own."""
+    return F.pmod(F.xxhash64(*of), (1 + F.col("n") / SLOT_ROWS).cast("int")).cast("int")
 
 
 def beside_ids(docs: DataFrame, lists: DataFrame, of: str, width: int, how: str = "inner") -> DataFrame:
@@ -69,25 +75,26 @@ def as_they_are(text: str, spans: Spans) -> Spans:
 
 
 def _without(batches: Iterator[pa.RecordBatch], cut: Cut) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in tidily(batches):
         names = batch.schema.names
-        texts, gone = batch.column(names.index("text")).to_pylist(), batch.column(names.index("gone")).to_pylist()
+        texts, gone = batch.column(names.index("text")), batch.column(names.index("gone"))
+        changed = pc.fill_null(pc.greater(pc.list_value_length(gone), 0), False)
         left, spans = [], []
-        for text, own in zip(texts, gone):
-            kept, at, merged = [], 0, []
-            for s in sorted(cut(text, [(s["start"], s["end"]) for s in own]) if own else ()):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(s[1], merged[-1][1]))
+        for text, own in zip(texts.filter(changed).to_pylist(), gone.filter(changed).to_pylist()):
+            merged: Spans = []
+            for a, b in sorted(cut(text, [(s["start"], s["end"]) for s in own])):
+                if merged and a <= merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
                 else:
-                    merged.append(s)
-            for a, b in merged:
-                kept.append(text[at:a])
-                at = b
-            left.append(text if not merged else "".join([*kept, text[at:]]))
+                    merged.append((a, b))
+            stops = [0, *(x for span in merged for x in span), len(text)]
+            left.append("".join(text[a:b] for a, b in zip(stops[::2], stops[1::2])))
             spans.append([{"start": a, "end": b} for a, b in merged])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        columns = [pa.array(left, pa.string()) if n == "text" else pa.array(spans, kind) if n == "gone" else batch.column(k) for k, n in enumerate(names)]
-        yield pa.RecordBatch.from_arrays(columns, names)
+        which = pc.if_else(changed, pc.cumulative_sum(changed.cast(pa.int64())), 0)
+        texts = pc.replace_with_mask(texts, changed, pa.array(left, texts.type))
+        spans = pa.array([None, *spans], kind).take(which)
+        yield pa.RecordBatch.from_arrays([texts if n == "text" else spans if n == "gone" else batch.column(k) for k, n in enumerate(names)], names)
 
 
 def without_spans(docs: DataFrame, gone: DataFrame, cut: Cut = as_they_are) -> DataFrame:
