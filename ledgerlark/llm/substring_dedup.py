@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import bounded_batches, stored
 from ledgerlark.llm.text_arrays import LOWER, span_hashes, text_chunks, tidily, window_hashes, words
-from ledgerlark.llm.units import PARTS, SPANS, Spans, beside_ids, is_later, repeated, row_keys, slot, without_spans
+from ledgerlark.llm.units import PARTS, SPANS, Spans, is_later, repeated, row_keys, slot, without_spans
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 #: What is asked of a text: its words from a to b, as a member (later text) or the hub (first one) of a comparison.
@@ -41,13 +41,23 @@ def line_starts(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(view.argmin(axis=1) + np.arange(len(view)))
 
 
-def _places(i: int | None, place: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    """PLACES of one text."""
-    order = np.lexsort((place, hashes))
-    again = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
+def _before(place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place before with the same hash in the same text; -1 for none."""
     before = np.full(len(place), -1)
-    before[order[again + 1]] = place[order[again]]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(place), i)), pa.array(place), pa.array(hashes.view(np.int64)), pa.array(before, mask=before < 0)], ["id", "part", "d", "before"])
+    if len(np.unique(hashes)) < len(hashes):
+        order = np.lexsort((place, hashes))
+        again = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
+        before[order[again + 1]] = place[order[again]]
+    return before
+
+
+def _places(texts: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """PLACES of texts: id, places and their hashes."""
+    if texts:
+        ids, place, hashes = zip(*texts)
+        before = np.concatenate([_before(p, h) for p, h in zip(place, hashes)])
+        columns = [pa.array(np.repeat(ids, [len(p) for p in place])), pa.array(np.concatenate(place)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(before, mask=before < 0)]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "part", "d", "before"])
 
 
 def _hashed_words(column: pa.Array) -> Iterator[np.ndarray]:
@@ -68,8 +78,8 @@ def _lines(batches: Iterator[pa.RecordBatch], line_words: int, least_words: int)
             if len(own) >= least_words:
                 lines = window_hashes(own, line_words)
                 at = line_starts(lines, least_words - line_words + 1)
-                out.append(_places(i, at, lines[at]))
-        yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
+                out.append((i, at, lines[at]))
+        yield from _places(out)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], line_words: int, least_words: int) -> Iterator[pa.RecordBatch]:
@@ -87,8 +97,8 @@ def _runs(batches: Iterator[pa.RecordBatch], line_words: int, least_words: int)
                 open_[s["start"] : s["end"] - least_words + 1] = False
             place = np.flatnonzero(open_)
             if len(place):
-                out.append(_places(i, place, runs[place]))
-        yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
+                out.append((i, place, runs[place]))
+        yield from _places(out)
 
 
 def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +167,7 @@ def _equal_words(plain: DataFrame, places: DataFrame, size: int, least_words: in
     asked = later.select("id", F.struct("a", "b", "hub", "slot", F.lit(1).alias("member"), "shift").cast(ASKED).alias("x"))
     asked = asked.unionByName(hubs.select(F.col("hub").alias("id"), F.struct("a", "b", "hub", "slot", F.lit(0).alias("member"), F.lit(0).alias("shift")).cast(ASKED).alias("x")))
     asked = stored(asked.groupBy("id").agg(F.collect_list("x").alias("asked")))
-    found = beside_ids(plain, asked, "asked", 64).mapInArrow(_asked_words, WANTED)
+    found = plain.join(asked, "id").mapInArrow(_asked_words, WANTED)
     found = found.repartition("hub", "slot").sortWithinPartitions("hub", "slot", "member").mapInArrow(partial(_compared, least_words=least_words), "id long, start long, end long")
     return same, stored(found)
 
@@ -186,7 +196,7 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     same, gone = _equal_words(plain, lines, line_words, least_words)
     open_ = same.where(F.col("within") | (is_later() & (F.col("n") > 2))).groupBy("id").agg(F.collect_list("part").alias("lines"))
     open_ = stored(open_.join(gone.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "id", "left"))
-    runs = beside_ids(plain, open_, "lines", 16).mapInArrow(partial(_runs, **sizes), PLACES)
+    runs = plain.join(open_, "id").mapInArrow(partial(_runs, **sizes), PLACES)
     gone = gone.unionByName(_equal_words(plain, stored(runs), least_words, least_words)[1])
-    out = without_spans(docs, gone, word_spans)
+    out = without_spans(docs, gone, word_spans, send=False)
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col(name[c]).alias(c) for c in documents.columns), F.coalesce("gone", F.array().cast(SPANS)).alias("removed_spans"))
