@@ -7,8 +7,8 @@ own lines were broken, and each run of ``least_words`` words holds one whole lin
 
 Digests of lines are grouped over all texts, and words around a later line are compared with those around the
 first: where ``least_words`` or more are equal, they go from the later text. A line may stand first in a text that has less
-in common than another. So where a line stands in three texts or more, the digests of all runs of
-``least_words`` words around its later places that haven't gone are grouped and compared in the same way.
+in common than another. So where a line stands in three texts or more, or twice in one, the digests of all runs of
+``least_words`` words around it that haven't gone are grouped and compared in the same way.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.storage import bounded_batches, stored
 from ledgerlark.llm.text_arrays import LOWER, span_hashes, text_chunks, tidily, window_hashes, words
-from ledgerlark.llm.units import PARTS, SPANS, Spans, is_later, repeated, row_keys, slot, without_spans
+from ledgerlark.llm.units import PARTS, SPANS, Spans, beside_ids, is_later, repeated, row_keys, slot, without_spans
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 #: What is asked of a text: its words from a to b, as a member (later text) or the hub (first one) of a comparison.
-ASKED = "struct<a:long,b:long,hub:long,slot:int,member:int,shift:long>"
+ASKED = "struct<a:long,b:long,hub:long,slot:int,member:int,shift:long,undecided:boolean>"
 #: A line or run by its first word's number; ``before`` is where it stands the last time before in its own text.
 PLACES = PARTS + ", before long"
 
@@ -60,44 +60,19 @@ def _places(texts: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(columns, ["id", "part", "d", "before"])
 
 
-def _hashed_words(column: pa.Array) -> Iterator[np.ndarray]:
-    """The hashes of each text's words, in order."""
-    for _, data, offsets in text_chunks(column):
-        data = LOWER[data]
-        starts, ends, rows = words(data, offsets)
-        hashes = span_hashes(data, starts, ends)
-        bounds = np.searchsorted(rows, np.arange(len(offsets)))
-        yield from (hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:]))
-
-
 def _lines(batches: Iterator[pa.RecordBatch], line_words: int, least_words: int) -> Iterator[pa.RecordBatch]:
     """(id, text) -> PLACES of the lines."""
     for batch in tidily(batches):
-        out = []
-        for i, own in zip(batch.column(0).to_pylist(), _hashed_words(batch.column(1))):
-            if len(own) >= least_words:
-                lines = window_hashes(own, line_words)
-                at = line_starts(lines, least_words - line_words + 1)
-                out.append((i, at, lines[at]))
-        yield from _places(out)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], line_words: int, least_words: int) -> Iterator[pa.RecordBatch]:
-    """(id, text, lines: array of line starts, gone: array of runs) -> PLACES of the runs that hold one of the lines and haven't gone."""
-    for batch in tidily(batches):
-        out = []
-        for i, own, lines, gone in zip(batch.column(0).to_pylist(), _hashed_words(batch.column(1)), *(batch.column(k).to_pylist() for k in (2, 3))):
-            runs = window_hashes(own, least_words)
-            ends = np.zeros(len(runs) + 1, np.int64)
-            at = np.array(lines)
-            np.add.at(ends, np.maximum(at - (least_words - line_words), 0), 1)
-            np.add.at(ends, np.minimum(at + 1, len(runs)), -1)
-            open_ = np.cumsum(ends)[:-1] > 0
-            for s in gone or ():
-                open_[s["start"] : s["end"] - least_words + 1] = False
-            place = np.flatnonzero(open_)
-            if len(place):
-                out.append((i, place, runs[place]))
+        ids, out = batch.column(0).to_pylist(), []
+        for low, data, offsets in text_chunks(batch.column(1)):
+            data = LOWER[data]
+            starts, ends, rows = words(data, offsets)
+            lines = window_hashes(span_hashes(data, starts, ends), line_words)
+            bounds = np.searchsorted(rows, np.arange(len(offsets)))
+            for r in np.flatnonzero(np.diff(bounds) >= least_words).tolist():
+                own = lines[bounds[r] : bounds[r + 1] - line_words + 1]
+                at = line_starts(own, least_words - line_words + 1)
+                out.append((ids[low + r], at, own[at]))
         yield from _places(out)
 
 
@@ -107,7 +82,7 @@ def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, text, asked in zip(*(batch.column(k).to_pylist() for k in range(3))):
             own = text.encode().lower().split()
-            rows += [(x["hub"], x["slot"], x["member"], i, max(x["a"], 0), x["shift"], b" ".join(own[max(x["a"], 0) : x["b"]])) for x in asked]
+            rows += [(x["hub"], x["slot"], x["member"], i, max(x["a"], 0), x["shift"], x["undecided"], b" ".join(own[max(x["a"], 0) : x["b"]])) for x in asked]
             if len(rows) >= 1_000:
                 yield _wanted_batch(rows)
                 rows = []
@@ -115,11 +90,11 @@ def _asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _wanted_batch(rows)
 
 
-WANTED = "hub long, slot int, member int, id long, a long, shift long, words binary"
+WANTED = "hub long, slot int, member int, id long, a long, shift long, undecided boolean, words binary"
 
 
 def _wanted_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], [c.split()[0] for c in WANTED.split(", ")])
 
 
@@ -132,20 +107,45 @@ def equal_runs(one: list[bytes], other: list[bytes], least: int) -> list[tuple[i
     return [(a + 1, b) for a, b in zip(stops, stops[1:]) if b - a - 1 >= least]
 
 
+def _run_hashes(joined: bytes, least_words: int) -> np.ndarray:
+    """Hashes of the runs of ``least_words`` words in words with one space between two."""
+    data = np.frombuffer(joined, np.uint8)
+    starts, ends, _ = words(data, np.array([0, len(data)]))
+    return window_hashes(span_hashes(data, starts, ends), least_words)
+
+
+#: Either a run of words that goes (start, end), or a place whose run is to be grouped (part, d, before).
+COMPARED = "id long, start long, end long, part long, d long, before long"
+
+
 def _compared(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hub and slot with the hub's words before the members': runs (id, a, b) of members' words that the hub has."""
+    """Rows sorted by hub and slot with the hub's words before the members': COMPARED, runs of members' words that the hub
+    has, and the runs of undecided texts that haven't gone."""
     key, base, own = None, 0, []
     for batch in tidily(batches):
-        found = []
-        for hub, slot, member, i, a, shift, text in zip(*(c.to_pylist() for c in batch.columns)):
+        found, places = [], []
+        for hub, slot_, member, i, a, shift, undecided, joined in zip(*(c.to_pylist() for c in batch.columns)):
+            theirs, equal = joined.split(b" "), []
             if not member:
-                key, base, own = (hub, slot), a, text.split(b" ")
-            elif (hub, slot) == key:
+                key, base, own = (hub, slot_), a, theirs
+            elif (hub, slot_) == key:
                 at = a - shift - base  # where the member's first word stands among the hub's
-                theirs, a, at = text.split(b" ")[max(0, -at) :], a + max(0, -at), max(0, at)
-                found += [(i, a + x, a + y) for x, y in equal_runs(theirs, own[at : at + len(theirs)], least_words)]
+                skip = max(0, -at)
+                equal = [(x + skip, y + skip) for x, y in equal_runs(theirs[skip:], own[at + skip : at + len(theirs)], least_words)]
+                found += [(i, a + x, a + y) for x, y in equal]
+            if undecided and len(theirs) >= least_words:
+                runs = _run_hashes(joined, least_words)
+                left = np.ones(len(runs), bool)
+                for x, y in equal:
+                    left[x : y - least_words + 1] = False
+                if left.any():
+                    places.append((i, np.flatnonzero(left) + a, runs[left]))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["id", "start", "end"])
+            columns = [pa.array(x, pa.int64()) for x in zip(*found)]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(found), pa.int64())] * 3], [c.split()[0] for c in COMPARED.split(", ")])
+        for rows in _places(places):
+            none = pa.nulls(rows.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), none, none, *rows.columns[1:]], [c.split()[0] for c in COMPARED.split(", ")])
 
 
 def word_spans(text: str, runs: Spans) -> Spans:
@@ -154,22 +154,25 @@ def word_spans(text: str, runs: Spans) -> Spans:
     return [(at[a], at[b]) for a, b in runs]
 
 
-def _equal_words(plain: DataFrame, places: DataFrame, size: int, least_words: int) -> tuple[DataFrame, DataFrame]:
-    """Of PLACES of ``size`` words: those that another place's digest equals, and the runs (id, start, end) of ``least_words`` words
-    and more that stand at or around a place and also around the first such place, or the last one before in its own text."""
-    same = stored(repeated(places, F.max(F.col("before").isNotNull()).alias("within")))
-    own = F.col("before").isNotNull()
-    later = same.where(own | is_later()).select("id", "part", F.when(own, F.col("id")).otherwise(F.col("first_id")).alias("hub"), (F.col("part") - F.coalesce("before", "first_part")).alias("shift"), F.when(own, 1).otherwise(F.col("n")).alias("n"))
-    around = least_words - size
-    later = later.groupBy("id", "hub", "shift").agg((F.min("part") - around).alias("a"), (F.max("part") + size + around).alias("b"), F.max("n").alias("n"))
+def _equal_words(plain: DataFrame, places: DataFrame, size: int, least_words: int) -> DataFrame:
+    """COMPARED of the words around PLACES of ``size`` words with those around the first place of the same digest, or
+    around the last one before in the same text."""
+    same = repeated(places, F.max(F.col("before").isNotNull()).alias("within"))
+    own, around = F.col("before").isNotNull(), least_words - size
+    later = same.where(own | is_later()).select(
+        "id", "part", F.when(own, F.col("id")).otherwise(F.col("first_id")).alias("hub"), (F.col("part") - F.coalesce("before", "first_part")).alias("shift"),
+        F.when(own, 1).otherwise(F.col("n")).alias("n"), "within", (F.lit(around > 0) & (F.col("within") | (F.col("n") > 2))).alias("undecided"),
+    )
+    later = later.groupBy("id", "hub", "shift").agg((F.min("part") - around).alias("a"), (F.max("part") + size + around).alias("b"), F.max("n").alias("n"), F.max("undecided").alias("undecided"), F.max("within").alias("within"))
     later = stored(later.withColumn("slot", slot("id")).drop("n"))
-    hubs = later.groupBy("hub", "slot").agg(F.min(F.col("a") - F.col("shift")).alias("a"), F.max(F.col("b") - F.col("shift")).alias("b"))
-    asked = later.select("id", F.struct("a", "b", "hub", "slot", F.lit(1).alias("member"), "shift").cast(ASKED).alias("x"))
-    asked = asked.unionByName(hubs.select(F.col("hub").alias("id"), F.struct("a", "b", "hub", "slot", F.lit(0).alias("member"), F.lit(0).alias("shift")).cast(ASKED).alias("x")))
+    # of a digest that stands twice in one text the first text is undecided too
+    hubs = later.groupBy("hub", "slot").agg(F.min(F.col("a") - F.col("shift")).alias("a"), F.max(F.col("b") - F.col("shift")).alias("b"), (F.lit(around > 0) & F.max("within")).alias("undecided"))
+    asked = later.select("id", F.struct("a", "b", "hub", "slot", F.lit(1).alias("member"), "shift", "undecided").cast(ASKED).alias("x"))
+    asked = asked.unionByName(hubs.select(F.col("hub").alias("id"), F.struct("a", "b", "hub", "slot", F.lit(0).alias("member"), F.lit(0).alias("shift"), "undecided").cast(ASKED).alias("x")))
     asked = stored(asked.groupBy("id").agg(F.collect_list("x").alias("asked")))
-    found = plain.join(asked, "id").mapInArrow(_asked_words, WANTED)
-    found = found.repartition("hub", "slot").sortWithinPartitions("hub", "slot", "member").mapInArrow(partial(_compared, least_words=least_words), "id long, start long, end long")
-    return same, stored(found)
+    # few texts are undecided, so these lists may be small enough to save a shuffle of whole texts
+    found = (plain.join(asked, "id") if around else beside_ids(plain, asked, "asked", 64)).mapInArrow(_asked_words, WANTED)
+    return stored(found.repartition("hub", "slot").sortWithinPartitions("hub", "slot", "member").mapInArrow(partial(_compared, least_words=least_words), COMPARED))
 
 
 def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = 50, line_words: int = 16) -> DataFrame:
@@ -191,12 +194,11 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     docs = documents.withColumnsRenamed(name)
     docs = row_keys(docs.withColumns({"id": F.col(name[id_col]).cast("long"), "text": F.col(name[text_col]).cast("string")}).drop(name[text_col]))
     plain = docs.where("id is not null and text is not null").select("id", "text")
-    sizes = {"line_words": line_words, "least_words": least_words}
-    lines = stored(plain.mapInArrow(partial(_lines, **sizes), PLACES))
-    same, gone = _equal_words(plain, lines, line_words, least_words)
-    open_ = same.where(F.col("within") | (is_later() & (F.col("n") > 2))).groupBy("id").agg(F.collect_list("part").alias("lines"))
-    open_ = stored(open_.join(gone.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "id", "left"))
-    runs = plain.join(open_, "id").mapInArrow(partial(_runs, **sizes), PLACES)
-    gone = gone.unionByName(_equal_words(plain, stored(runs), least_words, least_words)[1])
+    lines = stored(plain.mapInArrow(partial(_lines, line_words=line_words, least_words=least_words), PLACES))
+    first = _equal_words(plain, lines, line_words, least_words)
+    # a run of a text may have been asked for with several hubs
+    runs = stored(first.where("part is not null").groupBy("id", "part", "d").agg(F.max("before").alias("before")))
+    second = _equal_words(plain, runs, least_words, least_words)
+    gone = first.unionByName(second).where("start is not null").select("id", "start", "end")
     out = without_spans(docs, gone, word_spans, send=False)
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col(name[c]).alias(c) for c in documents.columns), F.coalesce("gone", F.array().cast(SPANS)).alias("removed_spans"))
