@@ -99,9 +99,9 @@ def _without(batches: Iterator[pa.RecordBatch], cut: Cut) -> Iterator[pa.RecordB
 
 def without_spans(docs: DataFrame, gone: DataFrame, cut: Cut = as_they_are, *, send: bool = True) -> DataFrame:
     """docs (id, text, further columns) without the spans in gone (id, start, end: characters of the text, or what
-    ``cut`` makes them of). Spans that meet or overlap are one. With ``send`` the spans go to all executors while they are small, see beside_ids. Column gone then holds the removed spans, in order."""
+    ``cut`` makes them of). Spans that meet or overlap are one. With ``send`` the spans go to all executors while they are small, see beside_ids; else both sides are shuffled at every size. Column gone then holds the removed spans, in order."""
     lists = stored(gone.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("gone")))
-    joined = beside_ids(docs, lists, "gone", 32, "left") if send else docs.join(lists, "id", "left")
+    joined = beside_ids(docs, lists, "gone", 32, "left") if send else docs.join(lists.hint("merge"), "id", "left")
     fields = ", ".join(f"`{f.name}` {SPANS if f.name == 'gone' else f.dataType.simpleString()}" for f in joined.schema)
     return joined.mapInArrow(partial(_without, cut=cut), fields)
 
