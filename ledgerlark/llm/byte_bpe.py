@@ -2,7 +2,8 @@
 
 Encoding: rows of (word, position, token) join the merge table with the token after them; in each
 step of a recursive query every word contracts its leftmost pair of least rank, until no pair has
-one. Very long words contract all occurrences of that pair in a step where this comes to the same.
+one. A long word does so in many places at once: a pair that comes first, by rank and then place, among all
+within the reach of one token can't be touched by a merge before its own, wherever that happens.
 Decoding: rows of (text, position, token) join the vocabulary and are aggregated in order.
 """
 
@@ -25,8 +26,8 @@ from ledgerlark.llm.text_arrays import text_chunks, tidily
 
 #: Steps of one recursive query; what isn't done then goes into another, so that its rows stay few.
 STEPS = 24
-#: Words of more bytes contract all occurrences of a pair in a step.
-LONG = 96
+#: Words of more bytes contract in several places in a step; as they have many rows, a query has few steps.
+LONG, LONG_STEPS = 96, 3
 
 ONE_PAIR = f"""
 WITH RECURSIVE t AS (
@@ -42,20 +43,28 @@ WITH RECURSIVE t AS (
 SELECT word, pos, tok, step FROM t QUALIFY step = max(step) OVER (PARTITION BY word)
 """
 
-# Of pairs of the least rank that overlap, every second one from the left is contracted. A pair whose
-# token takes part in a merge of lower rank is contracted once a step, as that merge may come next.
-ALL_PAIRS = f"""
+# A pair goes if no pair within ``reach`` tokens has a lower rank. No token is longer, so what could take one of its parts
+# before its turn begins with a merge there. Of equal pairs there the leftmost goes, unless their token, with
+# its neighbours or itself beside it, has no merge of lower rank: then all go, and of those that overlap every second one from the
+# left, if all that overlap may go.
+MANY_PAIRS = f"""
 WITH RECURSIVE t AS (
-  SELECT word, pos, tok, 0 AS step FROM start
+  SELECT word, pos, tok, reach, 0 AS step FROM start
   UNION ALL (
-    WITH p AS (SELECT *, row_number() OVER w AS i, lead(tok) OVER w AS next FROM t WINDOW w AS (PARTITION BY word ORDER BY pos)),
-    q AS (SELECT p.*, m.rank, m.plain, min(m.rank) OVER (PARTITION BY word) AS least FROM p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next),
-    h AS (SELECT *, coalesce(rank = least, false) AS hit FROM q WHERE least IS NOT NULL),
-    r AS (SELECT *, coalesce(max(CASE WHEN NOT hit THEN i END) OVER (PARTITION BY word ORDER BY i), 0) AS miss, min(CASE WHEN hit THEN i END) OVER (PARTITION BY word) AS first FROM h),
-    c AS (SELECT *, hit AND (i - miss) % 2 = 1 AND (plain OR i = first) AS taken FROM r),
-    g AS (SELECT *, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY i) AS gone FROM c)
-    SELECT word, pos, CASE WHEN taken THEN rank ELSE tok END, step + 1 FROM g WHERE NOT gone AND step < {STEPS}))
-SELECT word, pos, tok, step FROM t QUALIFY step = max(step) OVER (PARTITION BY word)
+    WITH p AS (SELECT *, row_number() OVER w AS i, lead(tok) OVER w AS next, lead(tok, 2) OVER w AS after, lag(tok) OVER w AS prev FROM t WINDOW w AS (PARTITION BY word ORDER BY pos)),
+    q AS (SELECT p.*, m.rank, x.rank IS NULL AND y.rank IS NULL AND z.rank IS NULL AS plain FROM p LEFT JOIN merges m ON m.l = p.tok AND m.r = p.next
+      LEFT JOIN sooner x ON x.l = m.rank AND x.r = p.after LEFT JOIN sooner y ON y.r = m.rank AND y.l = p.prev LEFT JOIN sooner z ON z.l = m.rank AND z.r = m.rank),
+    l AS (SELECT *, min(rank) OVER (PARTITION BY word) AS least,
+      min(rank) OVER (PARTITION BY word ORDER BY i RANGE BETWEEN reach PRECEDING AND reach FOLLOWING) AS near,
+      bool_and(plain OR rank IS NULL) OVER (PARTITION BY word ORDER BY i RANGE BETWEEN reach PRECEDING AND reach FOLLOWING) AS plains,
+      min((rank::BIGINT << 32) + i) OVER (PARTITION BY word ORDER BY i RANGE BETWEEN reach PRECEDING AND reach FOLLOWING) AS first FROM q),
+    h AS (SELECT *, rank IS NOT NULL AND rank = near AS hit,
+      lag(rank) OVER (PARTITION BY word ORDER BY i) IS NOT DISTINCT FROM rank AND lag(tok) OVER (PARTITION BY word ORDER BY i) = tok AND tok = next AS follows FROM l WHERE least IS NOT NULL),
+    g AS (SELECT *, max(CASE WHEN follows THEN NULL ELSE i END) OVER (PARTITION BY word ORDER BY i) AS head FROM h),
+    c AS (SELECT *, hit AND CASE WHEN plains THEN (i - head) % 2 = 0 AND bool_and(hit) OVER (PARTITION BY word, head) ELSE first = (rank::BIGINT << 32) + i END AS taken FROM g),
+    o AS (SELECT *, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY i) AS gone FROM c)
+    SELECT word, pos, CASE WHEN taken THEN rank ELSE tok END, reach, step + 1 FROM o WHERE NOT gone AND step < {LONG_STEPS}))
+SELECT word, pos, tok, step, reach FROM t QUALIFY step = max(step) OVER (PARTITION BY word)
 """
 
 DECODE = "SELECT t.doc, string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM tokens t JOIN vocabulary v ON v.id = t.tok GROUP BY t.doc"
@@ -73,23 +82,35 @@ class Codec:
         found = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         merges = pa.table([pa.array(x, pa.int32()) for x in zip(*found)] if found else [pa.array([], pa.int32())] * 3, ["l", "r", "rank"])
         self.db.register("v", vocabulary).execute("CREATE TABLE vocabulary AS FROM v")
-        self.db.register("m", merges).execute(
-            "CREATE TABLE merges AS SELECT *, rank NOT IN (SELECT l FROM m WHERE rank < l UNION SELECT r FROM m WHERE rank < r) AS plain FROM m"
-        )
+        self.db.register("m", merges).execute("CREATE TABLE merges AS FROM m")
+        self.db.execute("CREATE TABLE sooner AS FROM m WHERE rank < l OR rank < r")
         self.symbol = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        #: Lengths of tokens by the bytes in them, longest first.
+        longest: dict[int, int] = {}
+        for token in self.ranks:
+            bits = sum(1 << b for b in set(token))
+            longest[bits] = max(len(token), longest.get(bits, 0))
+        self.byte_sets = sorted(longest.items(), key=lambda x: -x[1])
         self.table = PieceTable(self.encode)
 
-    def _contract(self, words: np.ndarray, pos: np.ndarray, tok: np.ndarray, query: str) -> list[tuple[np.ndarray, ...]]:
-        done = []
+    def _contract(self, words: np.ndarray, pos: np.ndarray, tok: np.ndarray, reach: np.ndarray | None = None) -> list[tuple[np.ndarray, ...]]:
+        """Contract words until none of their pairs has a rank; with ``reach``, in several places at once."""
+        done, query, steps = [], ONE_PAIR if reach is None else MANY_PAIRS, STEPS if reach is None else LONG_STEPS
         while len(words):
-            self.db.register("start", pa.table({"word": words, "pos": pos, "tok": tok}))
-            out = self.db.sql(query).to_arrow_table()
-            words, pos, tok, step = (out.column(k).to_numpy() for k in range(4))
-            over = step < STEPS
-            done.append((words[over], pos[over], tok[over]))
-            words, pos, tok = words[~over], pos[~over], tok[~over]
+            start = {"word": words, "pos": pos, "tok": tok}
+            self.db.register("start", pa.table(start if reach is None else {**start, "reach": reach}))
+            out = [c.to_numpy() for c in self.db.sql(query).to_arrow_table().columns]
+            over = out[3] < steps
+            done.append(tuple(c[over] for c in out[:3]))
+            words, pos, tok, _, *more = (c[~over] for c in out)
+            reach = more[0] if more else None
         return done
 
+    def _reach(self, piece: bytes) -> int:
+        """The length of the longest token made of bytes that stand in a piece."""
+        own = sum(1 << b for b in set(piece))
+        return next((n for bits, n in self.byte_sets if not bits & ~own), 1)
+
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each piece, and all ids in order. A piece that is a token is that token."""
         whole = [self.ranks.get(p) for p in pieces]
@@ -99,9 +120,10 @@ class Codec:
         word = np.repeat(np.array(rest, np.int32), sizes)
         pos = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         long = np.repeat(sizes > LONG, sizes)
+        reach = np.repeat([self._reach(pieces[k]) if n > LONG else 0 for k, n in zip(rest, sizes.tolist())], sizes).astype(np.int32)
         known = [(np.array([k for k, r in enumerate(whole) if r is not None], np.int32), np.zeros(len(whole) - len(rest), np.int32), np.array([r for r in whole if r is not None], np.int32))]
-        for part, query in ((~long, ONE_PAIR), (long, ALL_PAIRS)):
-            known += self._contract(word[part], pos[part], self.symbol[data[part]], query)
+        known += self._contract(word[~long], pos[~long], self.symbol[data[~long]])
+        known += self._contract(word[long], pos[long], self.symbol[data[long]], reach[long])
         word, pos, tok = (np.concatenate(x) for x in zip(*known))
         order = np.lexsort((pos, word))
         return np.bincount(word, minlength=len(pieces)).astype(np.int32), tok[order]

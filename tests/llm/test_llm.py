@@ -431,6 +431,21 @@ def test_round_trip(spark):
     assert byte_bpe.round_trip(df.limit(0), path).count() == 0
 
 
+def test_long_words():
+    """Words that take many places at once, against the library's merges of one piece."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    words = ["a" * 100_000, "aab" * 10_000, "ab" * 700, "=" * 777, "-" * 131, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10_000)), "".join(rng.choice("éüßaeth") for _ in range(2_000))]
+    for _ in range(60):
+        letters = rng.choice(["ab", "abc", "aeiou", "etaoinsh", "=-", "ACGT", "the"])
+        words.append("".join(rng.choice(letters) * rng.choice([1, 1, 1, 2, 3, 7]) for _ in range(rng.randrange(60, 300))))
+    counts, flat = byte_bpe.Codec(path).encode([w.encode() for w in words])
+    for w, ids in zip(words, np.split(flat, np.cumsum(counts)[:-1])):
+        assert ids.tolist() == library.encode_ordinary(w), w[:80]
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
