@@ -1,11 +1,12 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant estimates.
 
-Every document is a vector of transformed text statistics. For each stratum (language and source;
-the language, or all, where documents are too few) the estimate starts at medians and absolute
-deviations and is improved by concentration steps over all documents: take the part of them that is
-nearest by Mahalanobis distance, and estimate again from these. A step never raises the
-determinant (Rousseeuw and Van Driessen 1999; deterministic start as in Hubert and others 2012).
-Steps are grouped quantiles and sums over narrow rows, so no stratum is ever gathered in one task.
+Every document is a vector of transformed text statistics. For each stratum, a language and source, estimates start
+from three deterministic guesses (as in Hubert and others 2012) and improve by concentration steps over all documents:
+take the part of them that is nearest by Mahalanobis distance, and estimate again from these. After two
+steps the guess with the least determinant goes on until its determinant falls no more (Rousseeuw and Van Driessen 1999). To each covariance
+a fixed diagonal is added, as in Boudt and others 2020, so that small or uniform strata have an estimate too; a step doesn't
+raise the determinant of that sum either. Steps are grouped quantiles and sums over narrow rows, so no stratum is
+ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.storage import bounded_batches, stored
+from ledgerlark.llm.storage import bounded_batches, sent_if_small, stored
 from ledgerlark.llm.text_arrays import SEPARATOR, U64, mix, span_hashes, text_chunks, tidily, window_hashes, words
 
 SYMBOL = np.zeros(256, bool)
@@ -85,67 +86,106 @@ def _features() -> list[Column]:
 
 
 def _estimate(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums by stratum -> centre and inverse covariance."""
+    """Numbers, sums and sums of products by stratum and start -> ESTIMATE."""
     p = len(FEATURES)
     for pdf in pdfs:
         rows = []
         for row in pdf.itertuples(index=False):
-            sums, squares = np.array(row.sums), np.zeros((p, p))
+            centre, squares = np.array(row.sums) / row.n, np.zeros((p, p))
             squares[np.triu_indices(p)] = row.squares
-            centre = sums / row.n
-            cov = (squares + np.triu(squares, 1).T) / row.n - np.outer(centre, centre)
+            cov = (squares + np.triu(squares, 1).T) / row.n
+            if row.spread is None:
+                cov -= np.outer(centre, centre)
+            elif row.start == "signs":  # sums of signs about the median, in units of the deviations
+                centre, cov = np.array(row.centre), p * cov * np.outer(row.spread, row.spread)
+            else:
+                centre, cov = np.array(row.centre), np.diag(np.square(row.spread))
             cov[np.diag_indices(p)] = np.maximum(np.diag(cov), 0) + np.square(FLOORS)
-            rows.append((row.stratum, centre.tolist(), np.linalg.inv(cov).ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["stratum", "centre", "inverse"])
+            rows.append((row.stratum, row.start, centre.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+        yield pd.DataFrame(rows, columns=["stratum", "start", "centre", "inverse", "logdet"])
+
+
+ESTIMATE = "stratum string, start string, centre array<double>, inverse array<double>, logdet double"
+STARTS = ("middle", "all", "signs")
+_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
 
 
 def _distance() -> Column:
     """Squared Mahalanobis distance of a row's x from its stratum's estimate."""
     p = len(FEATURES)
     gap = [F.col("x")[i] - F.col("centre")[i] for i in range(p)]
-    return sum((gap[i] * gap[j] * F.col("inverse")[i * p + j] * (1 if i == j else 2) for i in range(p) for j in range(i, p)), F.lit(0.0))
+    return sum((gap[i] * gap[j] * F.col("inverse")[i * p + j] * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0))
+
 
+def _beside(rows: DataFrame, by_stratum: DataFrame, on: str | list[str] = "stratum") -> DataFrame:
+    """Join estimates to rows: sent to all executors while they are small, else by a join that AQE may split."""
+    return rows.join(sent_if_small(by_stratum, F.lit(400)), on)
 
-def _beside(rows: DataFrame, by_stratum: DataFrame, strata: int) -> DataFrame:
-    """Join estimates to rows: sent to all executors while they are few, else by a join that AQE may split."""
-    return rows.join(F.broadcast(by_stratum) if strata <= 20_000 else by_stratum, "stratum")
+
+def _sums(rows: DataFrame, by: list[str], x: Column) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*(F.sum(x[i]) for i in range(len(FEATURES)))).alias("sums"), F.array(*(F.sum(x[i] * x[j]) for i, j in _PAIRS)).alias("squares"))
+
+
+def first_estimates(rows: DataFrame) -> DataFrame:
+    """ESTIMATE of rows (stratum, x) by start: "middle", medians and absolute deviations; "all", the mean and covariance
+    of all rows; "signs", the covariance of the directions from the medians (spatial signs)."""
+    p = len(FEATURES)
+    centre = stored(rows.groupBy("stratum").agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5) for i in range(p))).alias("centre")))
+    gaps = _beside(rows, centre).withColumn("gap", F.transform(F.arrays_zip("x", "centre"), lambda z: z["x"] - z["centre"]))
+    spread = gaps.groupBy("stratum", "centre").agg(F.array(*(1.4826 * F.percentile_approx(F.abs(F.col("gap")[i]), 0.5) + FLOORS[i] / 4 for i in range(p))).alias("spread"))
+    spread = stored(spread)
+    units = _beside(rows, spread).withColumn("unit", F.transform(F.arrays_zip("x", "centre", "spread"), lambda z: (z["x"] - z["centre"]) / z["spread"]))
+    length = F.sqrt(F.aggregate("unit", F.lit(0.0), lambda s, v: s + v * v))
+    signs = units.withColumn("sign", F.transform("unit", lambda v: F.when(length > 0, v / length).otherwise(0.0)))
+    none = F.lit(None).cast("array<double>")
+    plain = _sums(rows, ["stratum"], F.col("x")).select("stratum", F.lit("all").alias("start"), "n", "sums", "squares", none.alias("centre"), none.alias("spread"))
+    signs = _sums(signs, ["stratum", "centre", "spread"], F.col("sign")).select("stratum", F.lit("signs").alias("start"), "n", "sums", "squares", "centre", "spread")
+    return stored(plain.unionByName(signs).unionByName(signs.withColumn("start", F.lit("middle"))).mapInPandas(_estimate, ESTIMATE))
+
+
+def concentrated(rows: DataFrame, estimate: DataFrame, part: float) -> DataFrame:
+    """One concentration step: ESTIMATE from the ``part`` of each stratum's rows that are nearest to the estimate given, by start.
+    The part is exact for up to 10,000 rows of a stratum and true to one in 10,000 above; rows as far as the last one belong to it."""
+    near = _beside(rows, estimate.drop("logdet")).select("stratum", "start", "x", _distance().alias("d2"))
+    cut = stored(near.groupBy("stratum", "start").agg(F.percentile_approx("d2", part, 10_000).alias("cut")))
+    none = F.lit(None).cast("array<double>")
+    inside = _beside(near, cut, ["stratum", "start"]).where("d2 <= cut")
+    return stored(_sums(inside, ["stratum", "start"], F.col("x")).withColumns({"centre": none, "spread": none}).mapInPandas(_estimate, ESTIMATE))
+
+
+def least_determinants(rows: DataFrame, *, part: float, steps: int) -> DataFrame:
+    """ESTIMATE with the least determinant that the starts lead to, one row a stratum."""
+    estimate = first_estimates(rows)
+    for _ in range(2):
+        estimate = concentrated(rows, estimate, part)
+    best = stored(estimate.groupBy("stratum").agg(F.min_by(F.struct("start", "centre", "inverse", "logdet"), F.struct("logdet", "start")).alias("e")).select("stratum", "e.*"))
+    for _ in range(steps):
+        after = concentrated(rows, best, part)
+        both = best.select("stratum", F.col("logdet").alias("was")).join(after.select("stratum", "logdet"), "stratum")
+        fall = both.agg(F.max(F.col("was") - F.col("logdet"))).first()[0] or 0.0
+        best = after
+        if fall < 1e-6:
+            break
+    return best
 
 
 def robust_distances(rows: DataFrame, *, part: float, steps: int) -> DataFrame:
     """rows (stratum, x: array of features, further columns) with d2, their squared robust distance,
     scaled in each stratum so that its median is that of a normal distribution."""
-    p, pairs = len(FEATURES), [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-    middle = rows.groupBy("stratum").agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5) for i in range(p))).alias("centre"))
-    middle = stored(middle)
-    strata = middle.count()
-    spread = _beside(rows, middle, strata).groupBy("stratum", "centre").agg(
-        *(F.percentile_approx(F.abs(F.col("x")[i] - F.col("centre")[i]), 0.5).alias(f"s{i}") for i in range(p))
-    )
-    diagonal = [F.lit(0.0) if i != j else 1 / (F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2) for i in range(p) for j in range(p)]
-    estimate = stored(spread.select("stratum", "centre", F.array(*diagonal).alias("inverse")))
-    for _ in range(steps):
-        near = _beside(rows, estimate, strata).select("stratum", "x", _distance().alias("d2"))
-        cut = stored(near.groupBy("stratum").agg(F.percentile_approx("d2", part).alias("cut")))
-        sums = _beside(near, cut, strata).where("d2 <= cut").groupBy("stratum").agg(
-            F.count("*").alias("n"),
-            F.array(*(F.sum(F.col("x")[i]) for i in range(p))).alias("sums"),
-            F.array(*(F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs)).alias("squares"),
-        )
-        estimate = stored(sums.mapInPandas(_estimate, estimate.schema))
-    far = _beside(rows, estimate, strata).withColumn("d2", _distance()).drop("centre", "inverse")
+    best = least_determinants(rows, part=part, steps=steps).select("stratum", "centre", "inverse")
+    far = _beside(rows, best).withColumn("d2", _distance()).drop("centre", "inverse")
     scale = stored(far.groupBy("stratum").agg(F.percentile_approx("d2", 0.5).alias("middle")))
-    return _beside(far, scale, strata).withColumn("d2", F.col("d2") * CHI2_5_MEDIAN / F.greatest("middle", F.lit(CHI2_5_MEDIAN / 4))).drop("middle")
+    return _beside(far, scale).withColumn("d2", F.col("d2") * CHI2_5_MEDIAN / F.greatest("middle", F.lit(CHI2_5_MEDIAN / 4))).drop("middle")
 
 
-def quality_verdicts(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, keep: tuple[str, ...] = ("doc_id",), least_stratum: int = 50, part: float = 0.75, steps: int = 3, cut: float = 100.0) -> DataFrame:
+def quality_verdicts(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *, keep: tuple[str, ...] = ("doc_id",), part: float = 0.75, steps: int = 8, cut: float = 100.0) -> DataFrame:
     """One row for each document: the columns ``keep``, n_words, word_chars, n_symbols, n_dup_lines and
     n_repeat_words (long), base_failed, d2 (double, null if not judged) and kept (boolean).
 
     base_failed: fewer than 50 words, or over half the words in repeated three-word windows. Otherwise
     kept is false when the squared robust distance exceeds ``cut`` (at 100 a document lies ten robust
-    deviations off). All documents with a word make the estimates; a language and source with fewer than
-    ``least_stratum`` of them share their language's estimate, then a common one; below that all are kept.
-    Null text counts as empty; null language or source is a value of its own; equal rows are judged
+    deviations off). All documents with a word make the estimates, of each language and source its own, however few they
+    are; ``steps`` is the most concentration steps after the first two. Null text counts as empty; null language or source is a value of its own; equal rows are judged
     alike, each for itself. An empty table gives an empty result.
     """
     bounded_batches(documents.sparkSession)
@@ -156,17 +196,8 @@ def quality_verdicts(documents: DataFrame, text_col: str = "text", lang_col: str
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = stats.withColumn("base_failed", base)
 
-    group, lang = F.to_json(F.struct("_lang", "_source")), F.to_json(F.struct("_lang"))
-    sized = stored(stats.where("n_words > 0").groupBy("_lang", "_source").count())
-    small = F.col("count") < least_stratum
-    level = sized.withColumn("of_lang", F.sum(F.when(small, F.col("count"))).over(Window.partitionBy("_lang")))
-    stratum = F.when(~small, group).when(F.col("of_lang") >= least_stratum, lang).otherwise(F.lit("all"))
-    level = stored(level.select(F.col("_lang").alias("g_lang"), F.col("_source").alias("g_source"), "count", stratum.alias("stratum")))
-    judged = level.groupBy("stratum").agg(F.sum("count").alias("of_stratum")).where(F.col("of_stratum") >= least_stratum)
-    level = stored(level.join(judged, "stratum", "left").select("g_lang", "g_source", F.when(F.col("of_stratum").isNotNull(), F.col("stratum")).alias("stratum")))
-    level = F.broadcast(level) if level.count() <= 20_000 else level
-    rows = stats.join(level, stats["_lang"].eqNullSafe(F.col("g_lang")) & stats["_source"].eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source")
-    rows = stored(rows.withColumn("stratum", F.when(F.col("n_words") > 0, F.col("stratum"))).withColumn("x", F.array(*_features())))
+    stratum = F.when(F.col("n_words") > 0, F.to_json(F.struct("_lang", "_source")))
+    rows = stored(stats.withColumns({"stratum": stratum, "x": F.array(*_features())}))
     far = robust_distances(rows.where("stratum is not null"), part=part, steps=steps)
     out = far.unionByName(rows.where("stratum is null").withColumn("d2", F.lit(None).cast("double")))
     verdict = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cut)

@@ -205,11 +205,46 @@ def test_quality_outliers(spark):
     assert all(kept[i] for i in range(150)) and not any(kept[i] for i in range(150, 156))
 
 
-def test_concentration_steps_lower_the_determinant(spark):
+def plain_determinants(x, part=0.75):
+    """For every start of a stratum, the log determinants step by step, and the centre and inverse of the best in the end."""
+    floors, p = np.square(quality_rules.FLOORS), x.shape[1]
+    low = lambda v, q: np.sort(v)[max(int(np.ceil(q * len(v))), 1) - 1]
+    middle = np.array([low(x[:, i], 0.5) for i in range(p)])
+    spread = np.array([1.4826 * low(np.abs(x[:, i] - middle[i]), 0.5) + quality_rules.FLOORS[i] / 4 for i in range(p)])
+    unit = (x - middle) / spread
+    length = np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = np.divide(unit, length, out=np.zeros_like(unit), where=length > 0)
+    covariance = lambda v: (v - v.mean(axis=0)).T @ (v - v.mean(axis=0)) / len(v)
+    starts = {"middle": (middle, np.diag(spread**2)), "all": (x.mean(axis=0), covariance(x)), "signs": (middle, p * unit.T @ unit / len(x) * np.outer(spread, spread))}
+    paths, ends = {}, {}
+    for name, (centre, cov) in starts.items():
+        path = []
+        for _ in range(10):
+            gap = x - centre
+            d2 = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov + np.diag(floors)), gap)
+            inside = x[d2 <= low(d2, part)]
+            centre, cov = inside.mean(axis=0), covariance(inside)
+            path.append(np.linalg.slogdet(cov + np.diag(floors))[1])
+        paths[name], ends[name] = path, (centre, np.linalg.inv(cov + np.diag(floors)))
+    best = min(paths, key=lambda s: (paths[s][1], s))
+    return paths, ends[best], paths[best][-1]
+
+
+def test_least_determinants(spark):
+    """Strata of one, few and many rows, ties and a share of outliers, against a plain version."""
     rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(size=(180, 5)), rng.normal(6, 1, size=(30, 5))])
-    rows = spark.createDataFrame([("g", r.tolist(), i) for i, r in enumerate(x)], "stratum string, x array<double>, i long")
-    far = {r.i: r.d2 for r in quality_rules.robust_distances(rows, part=0.75, steps=3).collect()}
+    strata = {
+        "one": rng.normal(size=(1, 5)), "four": rng.normal(size=(4, 5)), "alike": np.tile(rng.normal(size=5), (30, 1)),
+        "far": np.concatenate([rng.normal(size=(180, 5)) * 0.4, rng.normal(6, 1, size=(30, 5))]), "two": np.concatenate([rng.normal(size=(60, 5)), rng.normal(3, 0.1, size=(50, 5))]),
+    }
+    rows = spark.createDataFrame([(k, r.tolist(), i) for k, v in strata.items() for i, r in enumerate(v)], "stratum string, x array<double>, i long")
+    found = {r.stratum: r for r in quality_rules.least_determinants(rows, part=0.75, steps=8).collect()}
+    assert found.keys() == strata.keys()
+    for name, x in strata.items():
+        paths, (centre, inverse), least = plain_determinants(x)
+        assert all(b <= a + 1e-9 for path in paths.values() for a, b in zip(path, path[1:]))  # a step never raises the determinant
+        assert np.allclose(found[name].logdet, least, atol=1e-6) and np.allclose(found[name].centre, centre, atol=1e-6) and np.allclose(np.reshape(found[name].inverse, (5, 5)), inverse, atol=1e-4)
+    far = {r.i: r.d2 for r in quality_rules.robust_distances(rows.where("stratum = 'far'"), part=0.75, steps=8).collect()}
     assert max(far[i] for i in range(180)) < min(far[i] for i in range(180, 210))
 
 
