@@ -146,10 +146,12 @@ def bundle_advantage(bundles: DataFrame, settings: Settings) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df through a Parquet table in the cluster's checkpoint folder, so that its lineage ends; a local folder only where none is set, as in tests."""
+    """df through a Parquet table in the cluster's checkpoint folder, so that its lineage ends; in local mode, where none is set, through a local folder."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not (spark.sparkContext.master or "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"

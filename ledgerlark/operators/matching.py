@@ -1,7 +1,7 @@
 """Entity resolution: block, score, rank, decide.
 
-Queries and candidates meet on a blocking key (a title token or an author's last token), never all with all.
-Native signals are columns; similarities are Arrow functions over distinct pairs that passed the block.
+Titles meet on a blocking key (a token), never all with all, and each distinct pair of strings is compared once;
+rows are joined to titles that are similar enough to count. Native signals are columns; similarities are Arrow functions.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from ledgerlark.functions.fuzzy import author_scores, title_similarity
 from ledgerlark.operators.diff import known
 
 NO_MATCH_BELOW, STRONG_TITLE, STRONG_AUTHOR, TIE_MARGIN, MAX_CANDIDATES, UNKNOWN_YEAR_DELTA = 85, 95, 90, 3, 5, 9999
+#: Of lengths a <= b the ratio is 200 * a / (a + b) at most; below this share of b it rounds to less than NO_MATCH_BELOW.
+LEAST_LENGTH = (NO_MATCH_BELOW - 0.5) / (200 - (NO_MATCH_BELOW - 0.5))
 
 
 def prepared(rows: DataFrame, prefix: str) -> DataFrame:
@@ -31,24 +33,40 @@ def blocks(rows: DataFrame, prefix: str) -> DataFrame:
     """Blocking keys: each title token of three characters or more, else the whole normalised title."""
     long = F.filter(F.col(f"{prefix}tokens"), lambda t: F.length(t) > 2)
     keys = F.array_distinct(F.when(F.size(long) > 0, long).otherwise(F.array(f"{prefix}norm")))
-    return rows.select(F.col(f"{prefix}id"), F.explode(keys).alias("block"))
+    return rows.withColumn("block", F.explode(keys))
 
 
-def candidate_pairs(queries: DataFrame, candidates: DataFrame, most_in_block: int | None = None) -> DataFrame:
-    """(qid, cid) that share a block, or an identifier. Tokens that more than ``most_in_block`` candidates
-    have are left out as keys, if that is set; a hot token is otherwise a skewed equi join, which AQE splits."""
-    right = blocks(candidates, "c")
-    if most_in_block:
-        right = right.join(right.groupBy("block").count().where(F.col("count") <= most_in_block).select("block"), "block")
-    by_title = blocks(queries, "q").join(right, "block").select("qid", "cid")
-    by_identifier = queries.where("qidentifier <> ''").select("qid", F.col("qidentifier").alias("key")).join(candidates.where("cidentifier <> ''").select("cid", F.col("cidentifier").alias("key")), "key").select("qid", "cid")
-    return by_title.unionByName(by_identifier).distinct()
+def similar_titles(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(qtitle, ctitle, title_score, title_contained) of distinct titles that share a block and either reach NO_MATCH_BELOW or are
+    contained. A score can't reach it where the shorter title has less than LEAST_LENGTH of the longer one's characters, so such pairs
+    are left out before any string is compared."""
+    q, c = (rows.select(*(f"{p}{x}" for x in ("title", "norm", "tokens"))).dropDuplicates([f"{p}title"]) for rows, p in ((queries, "q"), (candidates, "c")))
+    pairs = blocks(q, "q").join(blocks(c, "c"), "block").drop("block").dropDuplicates(["qtitle", "ctitle"])
+    contained = (F.size("qtokens") > 0) & (F.size("ctokens") > F.size("qtokens")) & (F.size(F.array_except("qtokens", "ctokens")) == 0)
+    lengths = F.length("qnorm"), F.length("cnorm")
+    pairs = pairs.withColumn("title_contained", contained).where(F.col("title_contained") | (F.least(*lengths) >= LEAST_LENGTH * F.greatest(*lengths)))
+    pairs = pairs.withColumn("title_score", title_similarity("qnorm", "cnorm"))
+    return pairs.where(F.col("title_contained") | (F.col("title_score") >= NO_MATCH_BELOW)).select("qtitle", "ctitle", "title_score", "title_contained")
 
 
-def scored(queries: DataFrame, candidates: DataFrame, most_in_block: int | None = None) -> DataFrame:
-    """Pairs with every signal that ranking and decision use."""
+def similar_authors(pairs: DataFrame) -> DataFrame:
+    """pairs with people, the scores of their authors: each distinct pair of author fields is compared once."""
+    distinct = pairs.select("qauthor", "cauthor", "qpeople", "cpeople").dropDuplicates(["qauthor", "cauthor"])
+    distinct = distinct.select(F.col("qauthor").alias("_q"), F.col("cauthor").alias("_c"), author_scores("qpeople", "cpeople").alias("people"))
+    return pairs.join(distinct, F.col("qauthor").eqNullSafe(F.col("_q")) & F.col("cauthor").eqNullSafe(F.col("_c"))).drop("_q", "_c")
+
+
+def scored(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs with every signal that ranking and decision use: those whose titles are similar or contained, or whose identifiers
+    are equal. Strings are compared once for each distinct pair of them, before rows are joined."""
     q, c = prepared(queries, "q"), prepared(candidates, "c")
-    pairs = candidate_pairs(q, c, most_in_block).join(q, "qid").join(c, "cid")
+    by_title = q.join(similar_titles(q, c), "qtitle").join(c, "ctitle")
+    by_identifier = q.where("qidentifier <> ''").join(c.where("cidentifier <> ''"), F.col("qidentifier") == F.col("cidentifier"))
+    by_identifier = by_identifier.join(by_title.select("qid", "cid"), ["qid", "cid"], "left_anti").withColumns({
+        "title_score": F.coalesce(title_similarity("qnorm", "cnorm"), F.lit(0)),
+        "title_contained": (F.size("qtokens") > 0) & (F.size("ctokens") > F.size("qtokens")) & (F.size(F.array_except("qtokens", "ctokens")) == 0),
+    })
+    pairs = similar_authors(by_title.unionByName(by_identifier))
     both_people = (F.size("qpeople") > 0) & (F.size("cpeople") > 0)
 
     def tokens(people: str) -> Column:
@@ -59,13 +77,10 @@ def scored(queries: DataFrame, candidates: DataFrame, most_in_block: int | None
         "id_match": known((F.col("qidentifier") != "") & (F.col("qidentifier") == F.col("cidentifier"))),
         "id_conflict": known((F.col("qidentifier") != "") & (F.col("cidentifier") != "") & (F.col("qidentifier") != F.col("cidentifier"))),
         "title_exact": known((F.col("qnorm") != "") & (F.col("qnorm") == F.col("cnorm"))),
-        "title_contained": (F.size("qtokens") > 0) & (F.size("ctokens") > F.size("qtokens")) & (F.size(F.array_except("qtokens", "ctokens")) == 0),
         "volume_conflict": volume,
         "is_bundle": F.col("cbundle") & ~F.col("qbundle"),
         "author_missing": known(F.col("qauthor") != "") & ~known(F.col("cauthor") != ""),
         "year_delta": F.coalesce(F.abs(F.col("qyear") - F.col("cyear")), F.lit(UNKNOWN_YEAR_DELTA)),
-        "title_score": title_similarity("qnorm", "cnorm"),
-        "people": author_scores("qpeople", "cpeople"),
     })
     apart = both_people & (F.size(tokens("qpeople")) > 0) & (F.size(tokens("cpeople")) > 0) & ~F.arrays_overlap(tokens("qpeople"), tokens("cpeople"))
     return pairs.withColumns({"author_exact": F.col("people.exact"), "author_score": F.col("people.best"), "author_conflict": known(apart & ~F.col("people.matches"))}).drop("people")
@@ -100,9 +115,13 @@ def ranked(pairs: DataFrame) -> DataFrame:
     return out.withColumn("runner_up_tied", F.coalesce(F.lead("tied").over(w), F.lit(False))).drop("_best")
 
 
-def resolutions(queries: DataFrame, candidates: DataFrame, most_in_block: int | None = None) -> DataFrame:
+def resolutions(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    return decided(queries, scored(queries, candidates))
+
+
+def decided(queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row for each query: the best candidate, its confidence (auto_accept, provisional, no_match) and why."""
-    best = ranked(scored(queries, candidates, most_in_block)).where("rank = 1")
+    best = ranked(pairs).where("rank = 1")
     asked, two_words, tied = known(F.col("qauthor") != ""), F.size(F.split("qnorm", " ")) >= 2, F.col("runner_up_tied")
     sure = (F.col("title_exact") & (F.col("author_score") >= STRONG_AUTHOR)) | ((F.col("title_score") >= STRONG_TITLE) & F.col("author_exact"))
     below = F.col("title_score") < NO_MATCH_BELOW
@@ -124,9 +143,9 @@ def resolutions(queries: DataFrame, candidates: DataFrame, most_in_block: int |
     confidence, reason = F.lit("provisional"), F.lit("not certain")
     for condition, level, why in reversed(rules):
         confidence, reason = F.when(condition, level).otherwise(confidence), F.when(condition, why).otherwise(reason)
-    decided = best.select("qid", "cid", "title_score", "author_score", confidence.alias("confidence"), reason.alias("reason"))
+    found = best.select("qid", "cid", "title_score", "author_score", "id_conflict", confidence.alias("confidence"), reason.alias("reason"))
     asked_for = queries.select(F.col("id").alias("qid"))
-    return asked_for.join(decided, "qid", "left").withColumns({"confidence": F.coalesce("confidence", F.lit("no_match")), "reason": F.coalesce("reason", F.lit("no candidate"))})
+    return asked_for.join(found, "qid", "left").withColumns({"confidence": F.coalesce("confidence", F.lit("no_match")), "reason": F.coalesce("reason", F.lit("no candidate"))})
 
 
 def indistinguishable(pairs: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
@@ -146,7 +165,5 @@ def find_books(rows: DataFrame, books: DataFrame) -> DataFrame:
     isbns = books.where("identifier <> ''").select("identifier", F.col("id").alias("book_id")).groupBy("identifier").agg(F.min("book_id").alias("book_id"))
     by_isbn = rows.join(isbns, "identifier").select("id", "book_id")
     rest = rows.join(by_isbn, "id", "left_anti")
-    free = scored(rest, books).where(~F.col("id_conflict"))
-    allowed = free.select(F.col("qid").alias("id"), F.col("cid").alias("book_id"))
-    matched = resolutions(rest, books).where("confidence = 'auto_accept'").select(F.col("qid").alias("id"), F.col("cid").alias("book_id"))
-    return by_isbn.unionByName(matched.join(allowed, ["id", "book_id"], "left_semi"))
+    matched = decided(rest, scored(rest, books)).where("confidence = 'auto_accept' and not id_conflict")
+    return by_isbn.unionByName(matched.select(F.col("qid").alias("id"), F.col("cid").alias("book_id")))

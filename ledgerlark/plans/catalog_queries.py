@@ -36,11 +36,11 @@ def join_self_work(spark, sf):
     return catalog.siblings(view(spark, sf, "works"))
 
 
-_OWNED = "owned AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS isbn FROM lineitem WHERE l_orderkey % 50 = 0)"
+_OWNED = "owned AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS isbn FROM lineitem WHERE l_quantity = 50)"
 
 
 def _owned(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_partkey").cast("string").alias("isbn")).distinct()
+    return table(spark, sf, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").cast("string").alias("isbn")).distinct()
 
 
 @query(f"+{_OWNED} SELECT w.isbn, min(o.isbn) AS owned_isbn FROM works w JOIN works x ON x.key = w.key AND x.isbn <> w.isbn JOIN owned o ON o.isbn = x.isbn GROUP BY 1", "works")
@@ -131,9 +131,9 @@ def join_bundle_price(spark, sf):
     return catalog.bundle_advantage(bundles, SETTINGS)
 
 
-@query("WITH t AS (SELECT p_partkey, p_name || ' / ' || p_brand AS title FROM part WHERE p_partkey % 3 = 0) SELECT p_partkey, n, trim(p) AS part FROM (SELECT p_partkey, unnest(string_split(title, ' / ')) AS p, unnest([0, 1])::INT AS n FROM t)")
+@query("WITH t AS (SELECT p_partkey, p_name || ' / ' || p_brand AS title FROM part) SELECT p_partkey, n, trim(p) AS part FROM (SELECT p_partkey, unnest(string_split(title, ' / ')) AS p, unnest([0, 1])::INT AS n FROM t)")
 def join_bundle_parts(spark, sf):
-    titles = table(spark, sf, "part").where("p_partkey % 3 = 0").select("p_partkey", F.concat_ws(" / ", "p_name", "p_brand").alias("title"))
+    titles = table(spark, sf, "part").select("p_partkey", F.concat_ws(" / ", "p_name", "p_brand").alias("title"))
     return titles.select("p_partkey", F.posexplode(T.volume_titles(F.col("title"))).alias("n", "part"))
 
 
@@ -172,13 +172,10 @@ def join_subset(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 12).alias("f")).where(F.size(F.array_except(wanted, "f")) == 0).select("l_orderkey")
 
 
-_EDGES = "e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_orderkey % 40 = 0)"
-
-
-@query(f"WITH RECURSIVE {_EDGES}, n AS (SELECT DISTINCT a.o AS a, b.o AS b FROM e a JOIN e b ON a.p = b.p), r AS (SELECT DISTINCT a AS node, a AS c FROM n UNION SELECT n.b, r.c FROM r JOIN n ON n.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1")
+@query()
 def join_graph_merge(spark, sf):
-    """Orders that share a part, over any number of steps, are one component; parts are nodes below zero."""
-    lines = table(spark, sf, "lineitem").where("l_orderkey % 40 = 0").select("l_orderkey", "l_partkey").distinct()
+    """Orders that share a part, over any number of steps, are one component. Recursive SQL would hold each pair of a component's orders."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
     hubs = lines.groupBy("l_partkey").agg(F.min("l_orderkey").alias("hub"))
     edges = lines.join(hubs, "l_partkey").select(F.col("l_orderkey").alias("a"), F.col("hub").alias("b"))
     found = catalog.connected(edges)
@@ -317,9 +314,9 @@ def win_best_portrait(spark, sf):
     return state.best_portrait(events).select("subject", "id")
 
 
-@query("WITH r AS (SELECT 'isbn:' || l_partkey AS subject, max_by(l_linenumber, l_orderkey * 10 + l_linenumber)::DOUBLE AS stars, max(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem WHERE l_orderkey % 100 = 0 GROUP BY 1), m AS (SELECT w.key, max_by(r.stars, r.seq) AS stars FROM r JOIN works w ON r.subject = 'isbn:' || w.isbn GROUP BY 1) SELECT subject, stars, true AS own FROM r UNION ALL SELECT 'isbn:' || w.isbn, m.stars, false FROM works w JOIN m USING (key) WHERE 'isbn:' || w.isbn NOT IN (SELECT subject FROM r)".replace("WITH r", "+r", 1), "works")
+@query("WITH r AS (SELECT 'isbn:' || l_partkey AS subject, max_by(l_linenumber, l_orderkey * 10 + l_linenumber)::DOUBLE AS stars, max(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem WHERE l_quantity = 1 GROUP BY 1), m AS (SELECT w.key, max_by(r.stars, r.seq) AS stars FROM r JOIN works w ON r.subject = 'isbn:' || w.isbn GROUP BY 1) SELECT subject, stars, true AS own FROM r UNION ALL SELECT 'isbn:' || w.isbn, m.stars, false FROM works w JOIN m USING (key) WHERE 'isbn:' || w.isbn NOT IN (SELECT subject FROM r)".replace("WITH r", "+r", 1), "works")
 def dml_rating_lookup(spark, sf):
-    log = table(spark, sf, "lineitem").where("l_orderkey % 100 = 0").select(F.concat(F.lit("isbn:"), "l_partkey").alias("subject"), F.lit("reader").alias("origin"), F.col("l_linenumber").cast("double").alias("stars"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    log = table(spark, sf, "lineitem").where("l_quantity = 1").select(F.concat(F.lit("isbn:"), "l_partkey").alias("subject"), F.lit("reader").alias("origin"), F.col("l_linenumber").cast("double").alias("stars"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return state.effective_rating(log, view(spark, sf, "works")).select("subject", "stars", "own")
 
 
@@ -383,10 +380,10 @@ def str_clean_blurb(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(blurb, 256).alias("clean"), T.is_truncated(F.col("text")).alias("truncated"))
 
 
-@query(f"SELECT c_custkey, {_FOLD.replace('x', 'c_name')} AS folded FROM customer UNION ALL SELECT -doc_id - 1, {_FOLD.replace('(x', '(left(text, 60)')} FROM documents")
+@query(f"SELECT c_custkey, {_FOLD.replace('x', 'c_name')} AS folded FROM customer UNION ALL SELECT -doc_id - 1, sha256({_FOLD.replace('(x', '(text')}) FROM documents")
 def str_fold(spark, sf):
     names = table(spark, sf, "customer").select("c_custkey", T.fold(F.col("c_name")).alias("folded"))
-    return names.unionByName(table(spark, sf, "documents").select((-F.col("doc_id") - 1).alias("c_custkey"), T.fold(F.substring("text", 1, 60)).alias("folded")))
+    return names.unionByName(table(spark, sf, "documents").select((-F.col("doc_id") - 1).alias("c_custkey"), F.sha2(T.fold(F.col("text")), 256).alias("folded")))
 
 
 @query("SELECT p_partkey, lower(regexp_replace(p_name, '^((the|a|an|of|and|der|die|das|den|dem|des|ein|eine|einen|einem|einer|le|la|les|el|los|il)\\s+)+', '')) AS norm, p_size AS volume, p_size > 1 AS conflict, lower(replace(p_brand, '-', ' ')) AS series_key FROM part")
@@ -438,25 +435,26 @@ def scan_json(spark, sf):
 # --- matching ---
 
 
-def _books(spark: SparkSession, sf: str, remainder: int) -> DataFrame:
+def _books(spark: SparkSession, sf: str, asked: bool) -> DataFrame:
+    """Parts of larger sizes are asked for, the others are candidates."""
     name = F.col("p_name")
-    title = name if remainder else F.concat(F.lit("Das "), name, F.lit(" (Roman)"))
-    return table(spark, sf, "part").where(f"p_partkey % 2 = {remainder}").select(
+    title = name if not asked else F.concat(F.lit("Das "), name, F.lit(" (Roman)"))
+    return table(spark, sf, "part").where("p_size > 25" if asked else "p_size <= 25").select(
         F.col("p_partkey").alias("id"), title.alias("title"), F.concat(F.lit("Author "), F.col("p_brand")).alias("author"), F.col("p_size").alias("year"), F.lit(None).cast("string").alias("identifier")
     )
 
 
 @query()
 def q_match(spark, sf):
-    """Half of the parts asked for among the other half; similarity is Arrow, so this has no SQL."""
-    out = matching.resolutions(_books(spark, sf, 0), _books(spark, sf, 1))
+    """Parts asked for among other parts; similarity is Arrow, so this has no SQL."""
+    out = matching.resolutions(_books(spark, sf, True), _books(spark, sf, False))
     return out.select("qid", "cid", "title_score", "author_score", "confidence", "reason")
 
 
-@query("WITH q AS (SELECT * FROM part WHERE p_partkey % 2 = 0), c AS (SELECT * FROM part WHERE p_partkey % 2 = 1) SELECT q.p_partkey AS qid, count(c.p_partkey) AS exact FROM q JOIN c ON q.p_name = c.p_name GROUP BY 1")
+@query("WITH q AS (SELECT * FROM part WHERE p_size > 25), c AS (SELECT * FROM part WHERE p_size <= 25) SELECT q.p_partkey AS qid, count(c.p_partkey) AS exact FROM q JOIN c ON q.p_name = c.p_name GROUP BY 1")
 def join_blocking(spark, sf):
     """Exact titles among the pairs that share a block: blocking loses none."""
-    pairs = matching.scored(_books(spark, sf, 0), _books(spark, sf, 1))
+    pairs = matching.scored(_books(spark, sf, True), _books(spark, sf, False))
     return pairs.where("title_exact").groupBy("qid").agg(F.count("*").alias("exact"))
 
 

@@ -26,14 +26,14 @@ def query(sql: str | None = None, *views: str):
     return register
 
 
-_ENTRIES = "entries AS (SELECT p_partkey AS book_id, p_name AS title, p_partkey % 5 <> 0 AS active FROM part WHERE p_partkey < 60)"
+_ENTRIES = "entries AS (SELECT p_partkey AS book_id, p_name AS title, p_partkey % 5 <> 0 AS active FROM part)"
 _LINKS = """links AS (SELECT DISTINCT book_id, source, CASE (book_id + length(source) + CASE WHEN source LIKE '%a' THEN 1 ELSE 0 END) % 4 WHEN 0 THEN 'linked' WHEN 1 THEN 'unsure' ELSE 'not_found' END AS outcome FROM obs WHERE book_id % 8 <> 3),
   cand AS (SELECT book_id, source, outcome, i AS position, 'u' || i AS url FROM links, range(3) r(i) WHERE NOT (book_id % 2 = 0 AND i = 0) AND NOT (book_id % 10 = 5))"""
 
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("p_partkey")
-    return table(spark, sf, "part").where("p_partkey < 60").select(key.alias("book_id"), F.col("p_name").alias("title"), (key % 5 != 0).alias("active"))
+    return table(spark, sf, "part").select(key.alias("book_id"), F.col("p_name").alias("title"), (key % 5 != 0).alias("active"))
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,9 +188,9 @@ def win_version(spark, sf):
     return state.current(log, "profile").join(n, "profile").select("profile", F.col("seq").alias("version"), "n")
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 10 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def q_seed(spark, sf):
-    new = table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    new = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     there = table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("id")).distinct()
     return state.insert_missing(new, there, "id")
 

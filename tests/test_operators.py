@@ -178,3 +178,52 @@ def test_journal_batches(spark, tmp_path):
 def test_budget(spark):
     finds = spark.createDataFrame([("a", 3), ("b", 1), ("a", 2), ("c", 9)], "subject string, id long")
     assert [r.subject for r in eligibility.budgeted(finds, 2).collect()] == ["b", "a"]
+
+
+def test_similar_titles_against_all_pairs(spark):
+    """No pair of titles that share a token and are similar or contained is lost to the bound on lengths or to the blocks."""
+    import random
+
+    from ledgerlark.functions import fuzzy
+
+    rng = random.Random(2)
+    words = "river rivers stone stones garden night nights the silver tower of towers winter song a".split()
+    titles = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) for _ in range(60)})
+    rows = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(titles)], "id long, title string, author string, year int, identifier string")
+    q, c = matching.prepared(rows, "q"), matching.prepared(rows, "c")
+    found = {(r.qtitle, r.ctitle): (r.title_score, r.title_contained) for r in matching.similar_titles(q, c).collect()}
+    forms = {r.qtitle: (r.qnorm, r.qtokens) for r in q.collect()}
+    want = {}
+    for a, (x, xs) in forms.items():
+        for b, (y, ys) in forms.items():
+            keys = [{t for t in ts if len(t) > 2} or {n} for n, ts in ((x, xs), (y, ys))]
+            score = round(min(fuzzy.token_set_ratio(x, y), fuzzy.token_sort_ratio(x, y)))
+            contained = len(xs) > 0 and len(ys) > len(xs) and not set(xs) - set(ys)
+            if keys[0] & keys[1] and (score >= matching.NO_MATCH_BELOW or contained):
+                want[a, b] = (score, contained)
+    assert found == want and len(want) > len(titles)
+
+
+def test_orders_that_share_parts(spark):
+    """Components over all of lineitem against union by hand."""
+    from pathlib import Path
+
+    import duckdb
+
+    from ledgerlark.plans.catalog_queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        return
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    first = {}
+    for order, part in duckdb.sql(f"SELECT DISTINCT l_orderkey, l_partkey FROM '{sf}/lineitem.parquet'").fetchall():
+        a, b = sorted((root(order), root(first.setdefault(part, order))))
+        parent[b] = a
+    assert {r.node: r.component for r in QUERIES["join_graph_merge"](spark, sf).collect()} == {x: root(x) for x in list(parent)}
