@@ -265,3 +265,68 @@ def one_sentence(text: Column, limit: int = 200) -> Column:
 
 def cover_name(url: Column, suffix: str = ".jpg") -> Column:
     return F.concat(F.substring(F.sha2(url, 256), 1, 12), F.lit(suffix))
+
+
+# The two forms in which a title or a subtitle names series and volume, and words that are no name alone.
+TITLE_VOLUME = r"(?iU)^(.{3,}?)\s*[.:–-]\s*(?:band|bd\.|teil|buch)\s+(\d{1,2})(?!\d)(.*)$"
+SUBTITLE_VOLUME = r"(?iU)^(.+?)(?:\s*[-–:,]\s*|\s+)(?:(?:band|bd\.?|teil|buch)\s*)?(?<!\d)(\d{1,2})$"
+SECOND_VOLUME = r"(?i)^\s*(?:und|&|-|–)\s*\d"
+ENDS_IN_NUMBER = r"(?i)\d\s*(?:und|&|-|–)?$"
+STRUCTURE_WORDS = ("band", "bd", "folge", "teil", "buch", "episode", "special", "nummer", "nr")
+FREE_TEXT = r"^(.+?)\s+[-–—]\s+([^-–—\d]+)$"
+TRAILING_NOTE = r"\s*\(([^()]*)\)\s*$"
+
+
+def series_from_title(title: Column, subtitle: Column) -> Column:
+    """struct(name, volume) if the title ("Name. Band 2") or else the subtitle's head ("Name 2", "Name - Band 2") names both; else null.
+
+    A title of that form decides, even if it is vetoed: a second volume after the number, a name that ends in a number, or one of
+    structure words only."""
+    whole, head = F.trim(title), F.rtrim(F.trim(F.split(subtitle, r"\|", 2)[0]), F.lit("."))
+    by_title = F.coalesce(whole.rlike(TITLE_VOLUME), F.lit(False))
+    by_subtitle = F.coalesce(head.rlike(SUBTITLE_VOLUME), F.lit(False))
+    shelf = F.regexp_replace(F.regexp_extract(head, SUBTITLE_VOLUME, 1), r"(?U)^\w[\w-]*:\s*", "")
+    found = F.when(by_title, F.regexp_extract(whole, TITLE_VOLUME, 1)).when(by_subtitle, shelf)
+    name = F.regexp_replace(found, "^[ –:,-]+|[ –:,-]+$", "")
+    volume = F.when(by_title, F.regexp_extract(whole, TITLE_VOLUME, 2)).otherwise(F.regexp_extract(head, SUBTITLE_VOLUME, 2))
+    words = F.filter(F.split(series_key(name), r"(?U)\W+"), lambda w: (w != "") & ~w.isin(*STRUCTURE_WORDS))
+    second = by_title & F.regexp_extract(whole, TITLE_VOLUME, 3).rlike(SECOND_VOLUME)
+    return F.when(~second & ~name.rlike(ENDS_IN_NUMBER) & (F.size(words) > 0), F.struct(name.alias("name"), volume.alias("volume")))
+
+
+def split_free_text(entry: Column) -> Column:
+    """struct(title, author, note) of "Title - Author (note)"; without a dash between words all of it is the title."""
+    text = squeeze(entry)
+    note = F.nullif(F.trim(F.regexp_extract(text, TRAILING_NOTE, 1)), F.lit(""))
+    bare = F.trim(F.regexp_replace(text, TRAILING_NOTE, ""))
+    split = bare.rlike(FREE_TEXT)
+    title = F.when(split, F.trim(F.regexp_extract(bare, FREE_TEXT, 1))).otherwise(bare)
+    return F.struct(title.alias("title"), F.when(split, F.trim(F.regexp_extract(bare, FREE_TEXT, 2))).alias("author"), note.alias("note"))
+
+
+def display_author(field: Column) -> Column:
+    """The first person of an author field, given name first; "Surname, Given" is turned round, two whole names are two people."""
+    first = F.split(field, r"(?U)\s*(?:;|&|\bund\b|\band\b)\s*", 2)[0]
+    parts = F.filter(F.transform(F.split(first, ","), squeeze), lambda p: p != "")
+    surname, given = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
+    sorted_form = ~surname.contains(" ") | ~given.contains(" ") | given.rlike(r"(?U)(?:^|\s)\w\.$")
+    return F.when(sorted_form, F.concat_ws(" ", given, surname)).otherwise(surname)
+
+
+def same_name(a: Column, b: Column) -> Column:
+    """Equal but for case and outer blanks; null is as empty."""
+    return F.lower(F.trim(F.coalesce(a, F.lit("")))) == F.lower(F.trim(F.coalesce(b, F.lit(""))))
+
+
+def names_book(entry_title: Column, entry_author: Column, title: Column, author: Column) -> Column:
+    """An entry means this book: its title is the same, and its author if it names one."""
+    return same_name(title, entry_title) & (entry_author.isNull() | same_name(author, entry_author))
+
+
+def owned_search(title: Column, author: Column, series: Column) -> Column:
+    """The text that a search on the shelf looks through."""
+    return F.lower(F.concat_ws(" ", title, author, series))
+
+
+def series_label(name: Column, volume: Column) -> Column:
+    return F.concat_ws(" · Band ", name, F.nullif(volume, F.lit("")))
