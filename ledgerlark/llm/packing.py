@@ -128,13 +128,14 @@ def pack_pieces(pieces: DataFrame, *, tokens: int = 1024, documents: int | None
 
     Without ``documents`` and ``attention`` these capacities are what ``tokens`` pieces of one token, and one piece of
     ``tokens``, demand: they then bind never. Pieces are dealt by hash to groups of about ``group_rows``, each with the same mix of
-    lengths, and packed group by group: what this costs is less than one sequence a group. sequence_id names the group and
+    lengths, and packed group by group: what this costs is less than one sequence a group. The hash takes in each row's place in
+    the written table, so rows that share an id, or have none, don't meet in one group. sequence_id names the group and
     the sequence. An empty table gives an empty result; equal rows are packed each.
     """
     pieces = stored(pieces)
     groups = max(1, round(pieces.count() / group_rows))
     capacities = (float(tokens), float(documents or tokens), float(attention or tokens**2))
-    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:

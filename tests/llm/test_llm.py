@@ -520,6 +520,14 @@ def test_best_fit_keeps_every_capacity(rule):
     assert len(np.unique(loose)) <= -(-tokens.sum() // 1024) + 1
 
 
+def test_packing_deals_rows_without_id_over_groups(spark):
+    rows = [(None, 0, 5)] * 300 + [(7, 0, 5)] * 300
+    packed = packing.pack_pieces(spark.createDataFrame(rows, "id long, piece int, length long"), tokens=64, group_rows=60).collect()
+    groups = Counter(r.sequence_id >> 32 for r in packed)
+    assert len(packed) == 600 and len(groups) == 10 and max(groups.values()) < 120
+    assert max(Counter(r.sequence_id for r in packed).values()) == 12
+
+
 def test_packed_sequences(spark):
     pieces = packing.token_pieces(docs(spark, ["one two", "three", None]), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
     row = packing.packed_sequences(packing.pack_pieces(pieces, tokens=64)).first()
