@@ -8,12 +8,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from ledgerlark.plans import catalog_queries, gate_queries, journal_queries, readmodel_queries
+from ledgerlark.plans import catalog_queries, gate_queries, journal_queries, readmodel_queries, shelf_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
-QUERIES = {**journal_queries.QUERIES, **catalog_queries.QUERIES, **readmodel_queries.QUERIES, **gate_queries.QUERIES}
-SQL = {**journal_queries.SQL, **catalog_queries.SQL, **readmodel_queries.SQL, **gate_queries.SQL}
+QUERIES = {**journal_queries.QUERIES, **catalog_queries.QUERIES, **readmodel_queries.QUERIES, **gate_queries.QUERIES, **shelf_queries.QUERIES}
+SQL = {**journal_queries.SQL, **catalog_queries.SQL, **readmodel_queries.SQL, **gate_queries.SQL, **shelf_queries.SQL}
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
