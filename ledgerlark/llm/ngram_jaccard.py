@@ -34,6 +34,8 @@ from ledgerlark.llm.text_arrays import LOWER, U64, mix, span_hashes, text_chunks
 LEVELS = 6
 #: 64-bit words of the short sketch. It rules out unlike sets of up to some 64 * SHORT * 2 shingles.
 SHORT = 8
+#: Tasks that the members of one hub are dealt to.
+SLOTS = 16
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -222,18 +224,25 @@ def _bound(percent: int) -> Column:
     return ((F.col("n") + F.col("n_")) * (100 - percent) / (100 + percent)).cast("int")
 
 
+def _slot() -> Column:
+    """Which of a hub's tasks a member goes to."""
+    return F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+
+
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (id, hub) that sizes and sketches don't rule out."""
+    """The pairs (id, hub) that sizes and sketches don't rule out. The members of a hub are dealt over SLOTS tasks; its sketch goes once to each that has members."""
+    pairs = pairs.withColumn("slot", _slot())
     other = sketches.select(F.col("id").alias("hub"), F.col("n").alias("n_"), F.col("sketch").alias("sketch_"))
-    both = pairs.join(sketches, "id").join(other, "hub")
-    return both.where(_sizes(percent) & (_differ(F.col("sketch"), F.col("sketch_")) <= _bound(percent))).select("id", "hub").distinct()
+    other = pairs.select("hub", "slot").distinct().join(other, "hub")
+    both = pairs.join(sketches, "id").join(other, ["hub", "slot"])
+    return both.where(_sizes(percent) & (_differ(F.col("sketch"), F.col("sketch_")) <= _bound(percent))).select("id", "hub", "slot").distinct().select("id", "hub")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (id, hub) that are similar. The hub's text goes once to each task that holds members
     of it: a hub with very many members is dealt over several."""
     pairs = stored(pairs)
-    slots = pairs.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(16)))
+    slots = pairs.withColumn("slot", _slot())
     hubs = slots.select("hub", "slot").distinct().select(F.col("hub").alias("id"), "hub", "slot", F.lit(0).alias("member"))
     roles = slots.select("id", "hub", "slot", F.lit(1).alias("member")).unionByName(hubs)
     return stored(
@@ -289,7 +298,7 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     near = (F.col("other") < F.col("component")) & _sizes(percent) & (apart <= _bound(percent))
     rest = left.alias("l").join(right, (F.col("l.sig") == right["sig"]) & near).select(F.col("rep").alias("id"), "hub").distinct()
     tested = first.unionByName(first.select(F.col("hub").alias("id"), F.col("id").alias("hub")))
-    rest = rest.join(tested, ["id", "hub"], "left_anti")
+    rest = stored(rest.join(tested, ["id", "hub"], "left_anti"))
     more = _verified(docs, _possible(rest, sketches, percent), width, percent)
 
     twice = nodes.groupBy("id", "k1", "k2").count().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
