@@ -104,12 +104,12 @@ class Vocabulary:
             across = self.joined.get((a, b))
             if across is not None and across < limit:
                 return False
+            if max(a, b) < 256:
+                return True
             if a > b:
                 limit, a = a, self.right[a]
-            elif b > 255:
-                limit, b = b + 1, self.left[b]
             else:
-                return True
+                limit, b = b + 1, self.left[b]
 
     def compatible(self, a: int, b: int) -> bool:
         """Entry (a, b) of the pair-compatibility table, worked out when it is first asked for."""

@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.alignment import token_alignment
+from ledgerlark.llm.backtracking_bpe import backtracking_round_trip
 from ledgerlark.llm.byte_bpe import round_trip
 from ledgerlark.llm.chat_format import conversation_calls, link_tool_calls
 from ledgerlark.llm.embedding_dedup import embedding_near_duplicates
+from ledgerlark.llm.fill_in_middle import fill_in_middle_digests
 from ledgerlark.llm.line_dedup import line_dedup
 from ledgerlark.llm.ngram_jaccard import ngram_jaccard_components
 from ledgerlark.llm.packing import best_fit_packing
@@ -75,11 +78,23 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtracking_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_byte_bpe_round_trip, op3_chat_formatting, op4_token_counts, op5_quality_rules, op6_substring_dedup, op7_url_filters,
-        op8_line_dedup, op9_embedding_near_dedup, op10_ngram_jaccard_join,
+        op8_line_dedup, op9_embedding_near_dedup, op10_ngram_jaccard_join, op11_backtracking_bpe, op12_token_alignment, op13_fill_in_middle,
     )
 }
 
