@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as T
+from ledgerlark.operators.catalog import written
 
 OUTCOMES = ("linked", "confirmed", "unsure", "not_found")
 
@@ -18,17 +19,10 @@ def given(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
-def better_spelling(kept: Column, seen: Column) -> Column:
-    """Of two spellings of the same person the one without comma, then with more accents, then the longer, then the first by alphabet;
-    of different persons the one that was there."""
-
-    def badness(name: Column) -> Column:
-        accents = F.length(name) - F.length(F.translate(name, T.ACCENTED, ""))
-        return F.struct(name.contains(","), -accents, -F.length(name), name)
-
-    old, new = given(kept), given(seen)
-    better = F.when((T.author_key(old) == T.author_key(new)) & (badness(new) < badness(kept)), new).otherwise(kept)
-    return F.when(new.isNull(), kept).when(old.isNull(), new).otherwise(better)
+def badness(name: Column) -> Column:
+    """Of spellings of the same person the least is best: without comma, then with more accents, then the longer, then the first by alphabet."""
+    accents = F.length(name) - F.length(F.translate(name, T.ACCENTED, ""))
+    return F.struct(name.contains(",").alias("comma"), (-accents).alias("accents"), (-F.length(name)).alias("length"), name.alias("name"))
 
 
 def by_isbn(rows: DataFrame, books: DataFrame) -> DataFrame:
@@ -37,51 +31,84 @@ def by_isbn(rows: DataFrame, books: DataFrame) -> DataFrame:
     return rows.join(keyed, "isbn").select("row", "id")
 
 
+def best_authors(books: DataFrame, rows: DataFrame) -> DataFrame:
+    """books (_key, author, further columns) with the author after rows (_key, row, author), as if each came in its turn: a book without an author
+    takes the first, and then the best spelling of the same person; other persons change nothing."""
+    said = rows.select("_key", "row", given(F.col("author")).alias("_name")).where("_name is not null").withColumn("_person", T.author_key(F.col("_name")))
+    people = said.groupBy("_key", "_person").agg(F.min(badness(F.col("_name"))).alias("_best"), F.min("row").alias("_at"))
+    first = people.groupBy("_key").agg(F.min_by("_person", "_at").alias("_first"))
+    own = given(F.col("author"))
+    joined = books.join(first, "_key", "left").withColumn("_person", F.when(own.isNull(), F.col("_first")).otherwise(T.author_key(own))).join(people, ["_key", "_person"], "left")
+    better = F.col("_best").isNotNull() & (own.isNull() | (F.col("_best") < badness(F.col("author"))))
+    return joined.withColumn("author", F.when(better, F.col("_best.name")).otherwise(F.col("author"))).select(*books.columns)
+
+
 def find_or_create(books: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
     """books (id, isbn, title, author, series) after a batch rows (row, isbn, title, author, series), of which found (row, id) names those
-    that are there already, by ISBN or by a match.
+    that are there already, by ISBN or by a match. The result is that of taking the rows one by one, by their number.
 
-    What a known book lacks is filled in from the first row that has it, nothing is overwritten; its author may take a better spelling of
-    the same name. The rest become books, one for each ISBN, or for each title and author without one; ids go on from the greatest by the
-    number of the first row, so they don't depend on how the data is split.
+    What a book lacks is filled in from the first row that has it, nothing is overwritten; its author may take a better spelling of
+    the same name. Rows that aren't there become books, one for each ISBN, or for each title and author without one: the first row makes the book
+    and later ones fill it. Ids go on from the greatest by the number of the first row, so they don't depend on how the data is split.
     """
     named = found.groupBy("row").agg(F.min("id").alias("id"))
-    placed = rows.join(named, "row", "left")
+    name = F.concat_ws("|", F.lit("name"), T.normalize_title(F.col("title")), F.coalesce(T.author_key(F.col("author")), F.lit("")))
+    key = F.coalesce(F.concat(F.lit("id:"), F.col("id").cast("string")), F.concat(F.lit("isbn:"), given(F.col("isbn"))), name)
+    placed = rows.join(named, "row", "left").withColumn("_key", key)
 
     def first(column: str) -> Column:
         return F.min_by(column, F.when(given(F.col(column)).isNotNull(), F.col("row"))).alias(f"_{column}")
 
-    told = placed.where("id is not null").groupBy("id").agg(first("isbn"), first("series"), first("author"))
-    kept = books.join(told, "id", "left").select(
-        "id", F.coalesce("isbn", "_isbn").alias("isbn"), "title", better_spelling(F.col("author"), F.col("_author")).alias("author"), F.coalesce("series", "_series").alias("series")
-    )
-    key = F.coalesce(F.concat(F.lit("isbn:"), given(F.col("isbn"))), F.concat_ws("|", F.lit("name"), T.normalize_title(F.col("title")), F.coalesce(T.author_key(F.col("author")), F.lit(""))))
-    new = placed.where("id is null").withColumn("isbn", given(F.col("isbn"))).groupBy(key.alias("_key")).agg(F.min(F.struct("row", "isbn", "title", "author", "series")).alias("b"))
+    told = placed.groupBy("_key").agg(first("isbn"), first("series"), F.min(F.when(F.col("id").isNull(), F.struct("row", given(F.col("isbn")).alias("isbn"), "title", "author", "series"))).alias("b"))
+    known = books.withColumn("_key", F.concat(F.lit("id:"), F.col("id").cast("string"))).join(told.drop("b"), "_key", "left")
     last = books.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    created = new.crossJoin(F.broadcast(last)).select((F.col("_last") + F.col("b.row")).alias("id"), "b.isbn", "b.title", "b.author", "b.series")
-    return kept.unionByName(created)
+    made = told.where("b is not null").crossJoin(F.broadcast(last)).select("_key", (F.col("_last") + F.col("b.row")).alias("id"), "b.isbn", "b.title", "b.author", "b.series", "_isbn", "_series")
+    filled = known.unionByName(made).withColumns({c: F.coalesce(c, f"_{c}") for c in ("isbn", "series")})
+    return best_authors(filled, placed).select("id", "isbn", "title", "author", "series")
 
 
 def learn_isbns(books: DataFrame, offered: DataFrame) -> DataFrame:
-    """books with ISBNs from offered (book_id, isbn, seq) where they have none. A book takes its first that no other book carries; of books
-    that would take the same one only the first does, since two rows for one book are for a person to join."""
+    """books with ISBNs from offered (book_id, isbn, seq) where they have none, as if each offer came in its turn: it holds if the book has none
+    yet and no other book carries it, since two rows for one book are for a person to join.
+
+    An offer that is the first left both of its book and of its ISBN holds for certain; with it all others of the two go. Rounds go on
+    until none is left, each written to the shared folder. Of equal seq the lesser book, then the lesser ISBN comes first.
+    """
     free = offered.where("isbn <> ''").join(books.where("isbn <> ''").select("isbn"), "isbn", "left_anti")
     open_books = books.where("coalesce(isbn, '') = ''").select(F.col("id").alias("book_id"))
-    mine = free.join(open_books, "book_id", "left_semi").groupBy("book_id").agg(F.min(F.struct("seq", "isbn")).alias("o"))
-    one = mine.groupBy(F.col("o.isbn").alias("_isbn")).agg(F.min_by("book_id", F.struct("o.seq", "book_id")).alias("id"))
+    left = written(free.join(open_books, "book_id", "left_semi").groupBy("book_id", "isbn").agg(F.min("seq").alias("seq")))
+    taken = None
+    while not left.isEmpty():
+        turn = F.struct("seq", "book_id", "isbn")
+        held = written(left.groupBy("book_id").agg(F.min(turn).alias("o")).join(left.groupBy("isbn").agg(F.min(turn).alias("o")), "o").select("o.book_id", "o.isbn"))
+        taken = held if taken is None else taken.unionByName(held)
+        left = written(left.join(held.select("book_id"), "book_id", "left_anti").join(held.select("isbn"), "isbn", "left_anti"))
+    if taken is None:
+        return books
+    one = taken.select(F.col("book_id").alias("id"), F.col("isbn").alias("_isbn"))
     return books.join(one, "id", "left").withColumn("isbn", F.coalesce("_isbn", "isbn")).select(*books.columns)
 
 
 def rename_books(books: DataFrame, renames: DataFrame) -> DataFrame:
-    """books with renamed: the last of renames (book_id, title, author, seq) holds, unless its title is blank or nothing differs. No author
-    given leaves the one there, a blank one removes it; a renamed book loses its cover."""
-    last = renames.where(given(F.col("title")).isNotNull()).groupBy("book_id").agg(F.max_by(F.struct("title", "author"), "seq").alias("r"))
-    title, author = F.trim("r.title"), F.col("r.author")
-    same = (F.col("title") == title) & (author.isNull() | author.eqNullSafe(F.col("author")))
-    joined = books.join(last.withColumnRenamed("book_id", "id"), "id", "left").withColumn("renamed", F.col("r").isNotNull() & ~F.coalesce(same, F.lit(False)))
+    """books with renamed after renames (book_id, title, author, seq), as if each came in its turn. One with a blank title, or that changes nothing, isn't
+    any. No author given leaves the one there, a blank one removes it. A book that was renamed loses its cover, even if its name is in
+    the end what it was."""
+    own = books.select(F.col("id").alias("book_id"), F.col("title").alias("_title"), F.col("author").alias("_author"))
+    turn = Window.partitionBy("book_id").orderBy("seq")
+    steps = (
+        renames.select("book_id", "seq", given(F.col("title")).alias("title"), "author").where("title is not null").join(own, "book_id")
+        .withColumn("set", F.when(F.col("author").isNotNull(), F.struct(given(F.col("author")).alias("to"))))
+        .withColumns({"before": F.coalesce(F.lag("title").over(turn), "_title"), "set_before": F.last("set", True).over(turn.rowsBetween(Window.unboundedPreceding, -1))})
+    )
+    author_before = F.when(F.col("set_before").isNull(), F.col("_author")).otherwise(F.col("set_before.to"))
+    same = F.col("title").eqNullSafe(F.col("before")) & (F.col("author").isNull() | F.col("author").eqNullSafe(author_before))
+    after = steps.groupBy(F.col("book_id").alias("id")).agg(
+        F.max_by("title", "seq").alias("_title"), F.max_by("set", F.when(F.col("set").isNotNull(), F.col("seq"))).alias("_set"), F.bool_or(~same).alias("_renamed")
+    )
+    joined = books.join(after, "id", "left").withColumn("renamed", F.coalesce("_renamed", F.lit(False)))
     changed = {
-        "author": F.when(F.col("renamed") & author.isNotNull(), given(author)).otherwise(F.col("author")),
-        "title": F.when(F.col("renamed"), title).otherwise(F.col("title")),
+        "author": F.when(F.col("renamed") & F.col("_set").isNotNull(), F.col("_set.to")).otherwise(F.col("author")),
+        "title": F.when(F.col("renamed"), F.col("_title")).otherwise(F.col("title")),
         "cover": F.when(~F.col("renamed"), F.col("cover")),
     }
     return joined.withColumns(changed).select(*books.columns, "renamed")

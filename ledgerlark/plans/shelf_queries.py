@@ -31,19 +31,23 @@ def _rows(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
 @query("""WITH books AS (SELECT p_partkey AS id, 'i' || p_partkey AS isbn, p_name AS title, CASE WHEN p_size > 30 THEN 'Lee, Ann' WHEN p_size > 15 THEN 'Bo Ray' END AS author, CASE WHEN p_size > 20 THEN p_brand END AS series FROM part WHERE p_size > 10),
   r AS (SELECT event_id + 1 AS row, CASE WHEN event_type <> 'error' THEN 'i' || user_id END AS isbn, event_type AS title, CASE event_type WHEN 'view' THEN 'Ann Lee' WHEN 'click' THEN 'Lee, Ann' END AS author, CASE WHEN value > 50 THEN props END AS series FROM events),
   p AS (SELECT r.*, b.id FROM r LEFT JOIN books b ON b.isbn = r.isbn),
-  told AS (SELECT id, min_by(series, row) FILTER (series IS NOT NULL) AS s, min_by(author, row) FILTER (author IS NOT NULL) AS a FROM p WHERE id IS NOT NULL GROUP BY 1),
-  new AS (SELECT min(row) AS row FROM p WHERE id IS NULL GROUP BY coalesce(isbn, title))
-  SELECT b.id, b.isbn, b.title, CASE WHEN b.author IS NULL THEN a WHEN b.author = 'Lee, Ann' AND a = 'Ann Lee' THEN a ELSE b.author END AS author, coalesce(b.series, s) AS series FROM books b LEFT JOIN told USING (id)
-  UNION ALL SELECT row + (SELECT max(id) FROM books), isbn, title, author, series FROM r WHERE row IN (SELECT row FROM new)""")
+  k AS (SELECT *, coalesce('id' || id, isbn, title) AS key FROM p),
+  told AS (SELECT key, min_by(series, row) FILTER (series IS NOT NULL) AS s, min_by(author, row) FILTER (author IS NOT NULL) AS a, bool_or(author = 'Ann Lee') AS better FROM k GROUP BY 1),
+  new AS (SELECT key, min(row) AS row FROM k WHERE id IS NULL GROUP BY 1),
+  n AS (SELECT 'id' || id AS key, b.* FROM books b UNION ALL SELECT key, row + (SELECT max(id) FROM books), r.isbn, r.title, r.author, r.series FROM new JOIN r USING (row)),
+  o AS (SELECT n.*, s, coalesce(author, a) AS own, better FROM n LEFT JOIN told USING (key))
+  SELECT id, isbn, title, CASE WHEN own = 'Lee, Ann' AND better THEN 'Ann Lee' ELSE own END AS author, coalesce(series, s) AS series FROM o""")
 def dml_book(spark, sf):
     books = _rows(spark, sf, "part", "p_partkey id", "concat('i', p_partkey) isbn", "p_name title", "case when p_size > 30 then 'Lee, Ann' when p_size > 15 then 'Bo Ray' end author", "case when p_size > 20 then p_brand end series", "p_size").where("p_size > 10").drop("p_size")
     rows = _rows(spark, sf, "events", "event_id + 1 row", "case when event_type <> 'error' then concat('i', user_id) end isbn", "event_type title", "case event_type when 'view' then 'Ann Lee' when 'click' then 'Lee, Ann' end author", "case when value > 50 then props end series")
     return shelf.find_or_create(books, rows, shelf.by_isbn(rows, books))
 
 
-@query("""WITH b AS (SELECT c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN 'i' || c_custkey END AS isbn FROM customer), o AS (SELECT o_custkey AS book_id, 'i' || o_orderkey % 1300 AS isbn, o_orderkey AS seq FROM orders),
-  m AS (SELECT book_id, min_by(isbn, seq) AS isbn, min(seq) AS seq FROM o WHERE isbn NOT IN (SELECT isbn FROM b WHERE isbn IS NOT NULL) AND book_id IN (SELECT id FROM b WHERE isbn IS NULL) GROUP BY 1), one AS (SELECT isbn, min_by(book_id, seq) AS id FROM m GROUP BY 1)
-  SELECT id, coalesce(b.isbn, one.isbn) AS isbn FROM b LEFT JOIN one USING (id)""")
+@query("""WITH RECURSIVE b AS (SELECT c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN 'i' || c_custkey END AS isbn FROM customer), o AS (SELECT o_custkey AS book, 'i' || o_orderkey % 1300 AS isbn, min(o_orderkey) AS seq FROM orders GROUP BY 1, 2),
+  e AS (SELECT *, 0 AS step, false AS held FROM o WHERE isbn NOT IN (SELECT isbn FROM b WHERE isbn IS NOT NULL) AND book IN (SELECT id FROM b WHERE isbn IS NULL)
+    UNION ALL (WITH f AS (SELECT *, seq = min(seq) OVER (PARTITION BY book) AND seq = min(seq) OVER (PARTITION BY isbn) AS wins FROM e WHERE NOT held)
+      SELECT book, isbn, seq, step + 1, wins FROM f WHERE wins OR (book NOT IN (SELECT book FROM f WHERE wins) AND isbn NOT IN (SELECT isbn FROM f WHERE wins))))
+  SELECT id, coalesce(b.isbn, e.isbn) AS isbn FROM b LEFT JOIN e ON e.book = id AND e.held""")
 def dml_learn_isbn(spark, sf):
     books = _rows(spark, sf, "customer", "c_custkey id", "case when c_acctbal > 5000 then concat('i', c_custkey) end isbn")
     return shelf.learn_isbns(books, _rows(spark, sf, "orders", "o_custkey book_id", "concat('i', o_orderkey % 1300) isbn", "o_orderkey seq"))
@@ -51,7 +55,10 @@ def dml_learn_isbn(spark, sf):
 
 _RENAMES = """b AS (SELECT p_partkey AS id, p_name AS title, p_brand AS author, 'c' || p_partkey AS cover FROM part),
   n AS (SELECT user_id AS id, CASE event_type WHEN 'click' THEN '  ' WHEN 'view' THEN ' New one ' ELSE p_name END AS title, CASE WHEN value > 50 THEN ' ' WHEN value > 20 THEN 'Bo ' END AS author, event_id AS seq FROM events JOIN part ON p_partkey = user_id),
-  l AS (SELECT id, trim(max_by(title, seq)) AS t, arg_max_null(author, seq) AS a FROM n WHERE trim(title) <> '' GROUP BY 1), j AS (SELECT b.*, t, a, t IS NOT NULL AND NOT (title = t AND (a IS NULL OR a = author)) AS renamed FROM b LEFT JOIN l USING (id))"""
+  w AS (SELECT n.id, trim(n.title) AS t, n.author AS a, seq, b.title AS t0, b.author AS a0 FROM n JOIN b USING (id) WHERE trim(n.title) <> ''),
+  x AS (SELECT *, coalesce(lag(t) OVER v, t0) AS t1, last_value(trim(a) IGNORE NULLS) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a1 FROM w WINDOW v AS (PARTITION BY id ORDER BY seq)),
+  l AS (SELECT id, max_by(t, seq) AS t, max_by(a, seq) FILTER (a IS NOT NULL) AS a, bool_or(NOT (t = t1 AND (a IS NULL OR a IS NOT DISTINCT FROM CASE WHEN a1 IS NULL THEN a0 ELSE nullif(a1, '') END))) AS changed FROM x GROUP BY 1),
+  j AS (SELECT b.*, t, a, coalesce(changed, false) AS renamed FROM b LEFT JOIN l USING (id))"""
 
 
 def _renamed(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,9 +73,10 @@ def dml_rename_book(spark, sf):
     return _renamed(spark, sf)
 
 
-@query(f"WITH {_RENAMES} SELECT DISTINCT user_id AS book_id, event_type AS source FROM events WHERE user_id NOT IN (SELECT id FROM j WHERE renamed)")
+@query(f"WITH {_RENAMES} SELECT DISTINCT book_id, source FROM (SELECT user_id AS book_id, event_type AS source FROM events UNION ALL SELECT p_partkey, p_mfgr FROM part) WHERE book_id NOT IN (SELECT id FROM j WHERE renamed)")
 def dml_links_after_renaming(spark, sf):
-    return shelf.links_after_renaming(_rows(spark, sf, "events", "user_id book_id", "event_type source").distinct(), _renamed(spark, sf))
+    links = _rows(spark, sf, "events", "user_id book_id", "event_type source").unionByName(_rows(spark, sf, "part", "p_partkey book_id", "p_mfgr source")).distinct()
+    return shelf.links_after_renaming(links, _renamed(spark, sf))
 
 
 _OUTCOME = "CASE WHEN value > 60 THEN 'linked' WHEN value > 40 THEN 'confirmed' WHEN value > 20 THEN 'unsure' ELSE 'not_found' END"
