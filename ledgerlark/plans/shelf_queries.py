@@ -73,9 +73,9 @@ def dml_rename_book(spark, sf):
     return _renamed(spark, sf)
 
 
-@query(f"WITH {_RENAMES} SELECT DISTINCT book_id, source FROM (SELECT user_id AS book_id, event_type AS source FROM events UNION ALL SELECT p_partkey, p_mfgr FROM part) WHERE book_id NOT IN (SELECT id FROM j WHERE renamed)")
+@query(f"WITH {_RENAMES} SELECT DISTINCT book_id, source FROM (SELECT user_id AS book_id, event_type AS source FROM events UNION ALL SELECT p_partkey, p_brand FROM part) WHERE book_id NOT IN (SELECT id FROM j WHERE renamed)")
 def dml_links_after_renaming(spark, sf):
-    links = _rows(spark, sf, "events", "user_id book_id", "event_type source").unionByName(_rows(spark, sf, "part", "p_partkey book_id", "p_mfgr source")).distinct()
+    links = _rows(spark, sf, "events", "user_id book_id", "event_type source").unionByName(_rows(spark, sf, "part", "p_partkey book_id", "p_brand source")).distinct()
     return shelf.links_after_renaming(links, _renamed(spark, sf))
 
 
