@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ledgerlark.functions.text import LETTER_FOLDS
 
@@ -55,6 +55,12 @@ def title_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else round(min(token_set_ratio(a, b), token_sort_ratio(a, b))) for a, b in zip(left, right)], dtype="Int32")
 
 
+@F.pandas_udf(DoubleType())
+def name_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The lower of set and sort ratio of two names, not rounded."""
+    return pd.Series([min(token_set_ratio(a, b), token_sort_ratio(a, b)) for a, b in zip(left, right)], dtype="float64")
+
+
 @F.pandas_udf(StructType([StructField("exact", BooleanType()), StructField("best", IntegerType()), StructField("matches", BooleanType())]))
 def author_scores(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """Of two lists of (full, substantial): whether a full name is in both, the best set ratio, and whether two people match (90 by both ratios)."""

@@ -1,7 +1,7 @@
-"""Entity resolution: block, score, rank, decide.
+"""Entity resolution: meet, score, rank, decide.
 
-Titles meet on a blocking key (a token), never all with all, and each distinct pair of strings is compared once;
-rows are joined to titles that are similar enough to count. Native signals are columns; similarities are Arrow functions.
+Titles meet on rare pieces (``similar``) or, if one contains the other, on the rarest token, never all with all, and each distinct pair of
+strings is compared once; rows are joined to titles that are similar enough to count. Native signals are columns; similarities are Arrow functions.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as T
-from ledgerlark.functions.fuzzy import author_scores, title_similarity
+from ledgerlark.functions.fuzzy import author_scores, name_similarity, title_similarity
+from ledgerlark.operators.catalog import written
 from ledgerlark.operators.diff import known
+from ledgerlark.operators.similar import similar, sorted_form
 
 NO_MATCH_BELOW, STRONG_TITLE, STRONG_AUTHOR, TIE_MARGIN, MAX_CANDIDATES, UNKNOWN_YEAR_DELTA = 85, 95, 90, 3, 5, 9999
-#: Of lengths a <= b the ratio is 200 * a / (a + b) at most; below this share of b it rounds to less than NO_MATCH_BELOW.
-LEAST_LENGTH = (NO_MATCH_BELOW - 0.5) / (200 - (NO_MATCH_BELOW - 0.5))
+#: A ratio above this rounds to NO_MATCH_BELOW.
+LEAST_RATIO = NO_MATCH_BELOW - 0.5
 
 
 def prepared(rows: DataFrame, prefix: str) -> DataFrame:
@@ -29,24 +31,36 @@ def prepared(rows: DataFrame, prefix: str) -> DataFrame:
     })
 
 
-def blocks(rows: DataFrame, prefix: str) -> DataFrame:
-    """Blocking keys: each title token of three characters or more, else the whole normalised title."""
-    long = F.filter(F.col(f"{prefix}tokens"), lambda t: F.length(t) > 2)
-    keys = F.array_distinct(F.when(F.size(long) > 0, long).otherwise(F.array(f"{prefix}norm")))
-    return rows.withColumn("block", F.explode(keys))
+def contained_titles(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(qnorm, cnorm) where all of the query's tokens are among the candidate's, which has more. A query meets the candidates that hold
+    its token with the fewest of them, so a token that most titles have makes no block unless a query has no other."""
+    held = candidates.select("cnorm", "ctokens", F.explode(F.array_distinct("ctokens")).alias("token"))
+    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    asked = queries.select("qnorm", "qtokens", F.explode("qtokens").alias("token")).join(counts, "token", "left")
+    rarest = asked.groupBy("qnorm", "qtokens").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
+    return rarest.join(held, "token").where(_contained()).select("qnorm", "cnorm")
+
+
+def _contained() -> Column:
+    return (F.size("qtokens") > 0) & (F.size("ctokens") > F.size("qtokens")) & (F.size(F.array_except("qtokens", "ctokens")) == 0)
+
+
+def similar_norms(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(qnorm, cnorm, title_score) of normalised titles with NO_MATCH_BELOW or more. Scores see sorted tokens only, so each pair of these is compared once."""
+    q = queries.select("qnorm", sorted_form(F.col("qnorm")).alias("l")).distinct()
+    c = candidates.select("cnorm", sorted_form(F.col("cnorm")).alias("r")).distinct()
+    alike = similar(q.select(F.col("l").alias("text")), c.select(F.col("r").alias("text")), title_similarity, NO_MATCH_BELOW, LEAST_RATIO)
+    return q.join(alike, "l").join(c, "r").select("qnorm", "cnorm", F.col("score").alias("title_score"))
 
 
 def similar_titles(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(qtitle, ctitle, title_score, title_contained) of distinct titles that share a block and either reach NO_MATCH_BELOW or are
-    contained. A score can't reach it where the shorter title has less than LEAST_LENGTH of the longer one's characters, so such pairs
-    are left out before any string is compared."""
+    """(qtitle, ctitle, title_score, title_contained) of all distinct titles that reach NO_MATCH_BELOW or are contained, whether they share
+    a whole token or not. Titles that are null or empty once normalised meet none."""
     q, c = (rows.select(*(f"{p}{x}" for x in ("title", "norm", "tokens"))).dropDuplicates([f"{p}title"]) for rows, p in ((queries, "q"), (candidates, "c")))
-    pairs = blocks(q, "q").join(blocks(c, "c"), "block").drop("block").dropDuplicates(["qtitle", "ctitle"])
-    contained = (F.size("qtokens") > 0) & (F.size("ctokens") > F.size("qtokens")) & (F.size(F.array_except("qtokens", "ctokens")) == 0)
-    lengths = F.length("qnorm"), F.length("cnorm")
-    pairs = pairs.withColumn("title_contained", contained).where(F.col("title_contained") | (F.least(*lengths) >= LEAST_LENGTH * F.greatest(*lengths)))
-    pairs = pairs.withColumn("title_score", title_similarity("qnorm", "cnorm"))
-    return pairs.where(F.col("title_contained") | (F.col("title_score") >= NO_MATCH_BELOW)).select("qtitle", "ctitle", "title_score", "title_contained")
+    norms = [rows.select(f"{p}norm", f"{p}tokens").dropDuplicates([f"{p}norm"]) for rows, p in ((q, "q"), (c, "c"))]
+    contained = contained_titles(*norms).withColumn("title_score", title_similarity("qnorm", "cnorm"))
+    pairs = similar_norms(q, c).unionByName(contained.where(F.col("title_score") < NO_MATCH_BELOW))
+    return q.join(pairs, "qnorm").join(c, "cnorm").select("qtitle", "ctitle", "title_score", _contained().alias("title_contained"))
 
 
 def similar_authors(pairs: DataFrame) -> DataFrame:
@@ -59,14 +73,21 @@ def similar_authors(pairs: DataFrame) -> DataFrame:
 def scored(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """Pairs with every signal that ranking and decision use: those whose titles are similar or contained, or whose identifiers
     are equal. Strings are compared once for each distinct pair of them, before rows are joined."""
-    q, c = prepared(queries, "q"), prepared(candidates, "c")
+    q, c = written(prepared(queries, "q")), written(prepared(candidates, "c"))
     by_title = q.join(similar_titles(q, c), "qtitle").join(c, "ctitle")
     by_identifier = q.where("qidentifier <> ''").join(c.where("cidentifier <> ''"), F.col("qidentifier") == F.col("cidentifier"))
-    by_identifier = by_identifier.join(by_title.select("qid", "cid"), ["qid", "cid"], "left_anti").withColumns({
-        "title_score": F.coalesce(title_similarity("qnorm", "cnorm"), F.lit(0)),
-        "title_contained": (F.size("qtokens") > 0) & (F.size("ctokens") > F.size("qtokens")) & (F.size(F.array_except("qtokens", "ctokens")) == 0),
-    })
-    pairs = similar_authors(by_title.unionByName(by_identifier))
+    by_identifier = by_identifier.join(by_title.select("qid", "cid"), ["qid", "cid"], "left_anti")
+    return signals(by_title.unionByName(with_title_score(by_identifier)))
+
+
+def with_title_score(pairs: DataFrame) -> DataFrame:
+    """pairs with title_score, 0 where a title is missing, and title_contained."""
+    return pairs.withColumns({"title_score": F.coalesce(title_similarity("qnorm", "cnorm"), F.lit(0)), "title_contained": known(_contained())})
+
+
+def signals(pairs: DataFrame) -> DataFrame:
+    """pairs of prepared rows, with title_score and title_contained, and every other signal."""
+    pairs = similar_authors(pairs)
     both_people = (F.size("qpeople") > 0) & (F.size("cpeople") > 0)
 
     def tokens(people: str) -> Column:
@@ -148,6 +169,62 @@ def decided(queries: DataFrame, pairs: DataFrame) -> DataFrame:
     return asked_for.join(found, "qid", "left").withColumns({"confidence": F.coalesce("confidence", F.lit("no_match")), "reason": F.coalesce("reason", F.lit("no candidate"))})
 
 
+#: Where a title of a record falls into parts, each a name of its own.
+NAME_PARTS = r"\s+[–—-]\s+|:\s+"
+
+
+def original_names(names: DataFrame) -> DataFrame:
+    """(identifier, place, name, nnorm, nvolume) of names (identifier, ordinal, name): each whole name and its parts, in order."""
+    parts = names.where("identifier <> '' and name is not null").select(
+        "identifier", "ordinal", F.posexplode(F.concat(F.array("name"), F.split("name", NAME_PARTS))).alias("part", "name")
+    )
+    named = parts.select("identifier", F.struct("ordinal", "part").alias("place"), F.trim("name").alias("name"))
+    return named.withColumns({"nnorm": T.normalize_title(F.col("name")), "nvolume": T.volume_of(F.col("name"))}).where("nnorm <> ''")
+
+
+def _another_volume(asked: Column, found: Column) -> Column:
+    return F.when(asked.isNotNull() & found.isNotNull(), asked != found).when(found.isNotNull(), found > 1).otherwise(False)
+
+
+def named_alike(queries: DataFrame, candidates: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, cid, original, original_score): prepared queries and candidates with a person in common whose recorded names hold one like the
+    query's title, and the best such name, the first of equals. Names and people are compared apart, each by rare pieces, and rows
+    meet on a name and a person together, so neither a common name nor a busy author alone makes a block."""
+    named = written(original_names(names))
+    near_names = similar_norms(queries.where("qnorm <> ''"), named.select(F.col("nnorm").alias("cnorm"))).withColumnRenamed("cnorm", "nnorm")
+    people = [rows.select(f"{p}id", F.explode(F.array_distinct(F.transform(f"{p}people", lambda a: sorted_form(a["full"])))).alias(f"{p}person")) for rows, p in ((queries, "q"), (candidates, "c"))]
+    asked, credited = people
+    near_people = similar(asked.select(F.col("qperson").alias("text")), credited.select(F.col("cperson").alias("text")), name_similarity, STRONG_AUTHOR, STRONG_AUTHOR)
+    near_people = near_people.select(F.col("l").alias("qperson"), F.col("r").alias("cperson"))
+    ours = queries.select("qid", "qnorm", "qvolume").join(near_names, "qnorm").join(asked.join(near_people, "qperson").select("qid", "cperson").distinct(), "qid")
+    theirs = candidates.where("cidentifier <> ''").select("cid", "cvolume", F.col("cidentifier").alias("identifier")).join(named, "identifier").join(credited, "cid")
+    met = ours.join(theirs, ["nnorm", "cperson"]).where(~_another_volume(F.col("qvolume"), F.col("cvolume")) & ~_another_volume(F.col("qvolume"), F.col("nvolume")))
+    best = met.groupBy("qid", "cid").agg(F.min(F.struct((-F.col("title_score")).alias("worse"), "place", "name")).alias("_best"))
+    return best.select("qid", "cid", F.col("_best.name").alias("original"), (-F.col("_best.worse")).alias("original_score"))
+
+
+def by_original_title(queries: DataFrame, candidates: DataFrame, names: DataFrame, found: DataFrame) -> DataFrame:
+    """found (``resolutions`` of the queries) with translated editions found by the names (identifier, ordinal, name) recorded for candidates.
+
+    Only queries that name an author and that titles left open ask: no match, or one below NO_MATCH_BELOW that isn't accepted. One book is accepted
+    at STRONG_TITLE, unless identifiers contradict; several are a question, as is a weaker name. Two candidates of one identifier are one book.
+    More columns: original, original_score, original_books, null where no name decides."""
+    q, c, found = written(prepared(queries, "q")), written(prepared(candidates, "c")), written(found)
+    undecided = found.where((F.col("confidence") != "auto_accept") & (F.coalesce("title_score", F.lit(0)) < NO_MATCH_BELOW))
+    q = q.join(undecided.select("qid"), "qid", "left_semi")
+    hits = written(named_alike(q, c, names))
+    pairs = signals(with_title_score(hits.join(q, "qid").join(c, "cid")))
+    books = pairs.groupBy("qid").agg(F.count_distinct("cidentifier").alias("original_books"))
+    best = ranked(pairs).where("rank = 1").join(books, "qid")
+    sure = (F.col("original_books") == 1) & (F.col("original_score") >= STRONG_TITLE) & ~F.col("id_conflict")
+    why = F.when(F.col("original_books") > 1, "several books have this original title").when(sure, "by the original title").otherwise("original title, not certain")
+    decided_by = {"cid": F.col("cid"), "title_score": F.col("title_score"), "author_score": F.col("author_score"), "id_conflict": F.col("id_conflict"),
+                  "confidence": F.when(sure, "auto_accept").otherwise("provisional"), "reason": why}
+    new = best.select("qid", "original", "original_score", "original_books", F.struct(*(v.alias(k) for k, v in decided_by.items())).alias("_new"))
+    out = found.join(new, "qid", "left")
+    return out.withColumns({k: F.when(F.col("_new").isNotNull(), F.col("_new")[k]).otherwise(F.col(k)) for k in decided_by}).drop("_new")
+
+
 def indistinguishable(pairs: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
     """The best candidate of each query and those tied with it, ``most`` of them."""
     return ranked(pairs).where(((F.col("rank") == 1) | F.col("tied")) & (F.col("rank") <= most))

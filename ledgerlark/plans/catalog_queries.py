@@ -451,9 +451,26 @@ def q_match(spark, sf):
     return out.select("qid", "cid", "title_score", "author_score", "confidence", "reason")
 
 
+@query()
+def q_original_title(spark, sf):
+    """Parts that a supplier delivers, asked for by name, among editions with other titles whose records hold the name; similarity is Arrow, so this has no SQL."""
+    part, sold = table(spark, sf, "part"), table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
+    nobody, letters = F.lit(None).cast("int"), F.translate(F.md5(F.col("l_suppkey").cast("string").cast("binary")), "0123456789", "ghijklmnop")
+    author, key = F.concat(F.substring(letters, 1, 6), F.lit(" "), F.substring(letters, 7, 9)), F.col("p_partkey").cast("string")
+    asked = sold.join(part, "p_partkey").groupBy("p_name", "l_suppkey").agg(F.min("p_partkey").alias("p_partkey"))
+    queries = asked.select(F.concat_ws("-", "l_suppkey", "p_partkey").alias("id"), F.col("p_name").alias("title"), author.alias("author"), nobody.alias("year"), F.lit("").alias("identifier"))
+    first = sold.groupBy("p_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    editions = part.join(first, "p_partkey").select(
+        F.col("p_partkey").alias("id"), F.concat_ws(" ", F.lit("Ausgabe"), "p_type", "p_brand").alias("title"), author.alias("author"), nobody.alias("year"), key.alias("identifier")
+    )
+    names = part.select(key.alias("identifier"), F.lit(0).alias("ordinal"), F.concat_ws(" – ", "p_name", "p_type").alias("name"))
+    out = matching.by_original_title(queries, editions, names, matching.resolutions(queries, editions))
+    return out.select("qid", "cid", "original", "original_score", "original_books", "confidence", "reason")
+
+
 @query("WITH q AS (SELECT * FROM part WHERE p_size > 25), c AS (SELECT * FROM part WHERE p_size <= 25) SELECT q.p_partkey AS qid, count(c.p_partkey) AS exact FROM q JOIN c ON q.p_name = c.p_name GROUP BY 1")
 def join_blocking(spark, sf):
-    """Exact titles among the pairs that share a block: blocking loses none."""
+    """Exact titles among the pairs that meet: none is lost."""
     pairs = matching.scored(_books(spark, sf, True), _books(spark, sf, False))
     return pairs.where("title_exact").groupBy("qid").agg(F.count("*").alias("exact"))
 
