@@ -39,9 +39,13 @@ def siblings(works: DataFrame) -> DataFrame:
 
 
 def owned_as(works: DataFrame, owned: DataFrame) -> DataFrame:
-    """(isbn, owned_isbn): another edition of the same work that is owned, the least."""
-    mine = works.join(owned.select("isbn").distinct(), "isbn", "left_semi").select("key", F.col("isbn").alias("owned_isbn"))
-    return works.join(mine, "key").where("isbn <> owned_isbn").groupBy("isbn").agg(F.min("owned_isbn").alias("owned_isbn"))
+    """(isbn, owned_isbn): another edition of the same work that is owned, the least. That is one of the two least that are owned of a
+    work, so editions meet these two and not each other."""
+    mine = works.join(owned.select("isbn").distinct(), "isbn", "left_semi").select("key", F.col("isbn").alias("owned_isbn")).distinct()
+    two = mine.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("owned_isbn"))).where("_n <= 2")
+    least = two.groupBy("key").agg(F.min("owned_isbn").alias("_first"), F.max("owned_isbn").alias("_second"))
+    other = F.when(F.col("isbn") != F.col("_first"), F.col("_first")).when(F.col("isbn") != F.col("_second"), F.col("_second"))
+    return works.join(least, "key").select("isbn", other.alias("owned_isbn")).where("owned_isbn is not null").groupBy("isbn").agg(F.min("owned_isbn").alias("owned_isbn"))
 
 
 def decided_works(works: DataFrame, decided: DataFrame) -> DataFrame:
