@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.catalog import written
+from ledgerlark.operators.eligibility import small
 from ledgerlark.settings import Weights
 
 
@@ -149,18 +151,19 @@ def waterfall(scores: DataFrame) -> DataFrame:
 
 def derive_facets(carriers: DataFrame) -> DataFrame:
     """(books, families) of carriers (family, book): sets of two books or more that a family, or two families together, are carried
-    by, with all families that these books carry; at least two families, and none within another. The join on books pairs
-    families that share one; families are a vocabulary's, so pairs are few."""
-    sets = carriers.groupBy("family").agg(F.array_sort(F.collect_set("book")).alias("books"))
-    shared = carriers.alias("x").join(carriers.alias("y"), F.col("x.book") == F.col("y.book")).where("x.family < y.family").groupBy("x.family", "y.family").agg(F.array_sort(F.collect_set("x.book")).alias("books"))
-    candidates = sets.select("books").unionByName(shared.select("books")).where(F.size("books") >= 2).distinct()
-    members = candidates.withColumn("book", F.explode("books")).join(carriers.distinct(), "book").groupBy("books", "family").agg(F.count("*").alias("c")).where(F.col("c") == F.size("books"))
-    valid = members.groupBy("books").agg(F.array_sort(F.collect_set("family")).alias("families")).where(F.size("families") >= 2)
-    keyed = valid.select("books", "families", F.explode("families").alias("family"))
-    rival = keyed.select("family", F.col("books").alias("b2"), F.col("families").alias("f2"))
-    inside = (F.size(F.array_except("books", "b2")) == 0) & (F.size(F.array_except("families", "f2")) == 0) & ((F.size("b2") > F.size("books")) | (F.size("f2") > F.size("families")))
-    dominated = keyed.join(rival, "family").where(inside).select("books").distinct()
-    return valid.join(dominated, "books", "left_anti")
+    by, with all families that these books carry; at least two families.
+
+    Such a set is all books that carry its families, so equal families mean equal books, and none lies within another with families
+    and all. Sets are told apart by families and counts of books; books are listed once, for the sets that are left."""
+    carriers = written(carriers.where("family is not null and book is not null").distinct())
+    carried = written(carriers.groupBy("book").agg(F.array_sort(F.collect_list("family")).alias("families")))
+    pairs = carried.select("book", "families", F.explode("families").alias("f")).select("book", "families", "f", F.explode("families").alias("g")).where("f <= g")
+    sets = pairs.groupBy("f", "g").agg(F.count("*").alias("n")).where("n >= 2")
+    shared = pairs.select("f", "g", F.explode("families").alias("family")).groupBy("f", "g", "family").agg(F.count("*").alias("c"))
+    whole = shared.join(sets, ["f", "g"]).where("c = n").groupBy("f", "g").agg(F.array_sort(F.collect_list("family")).alias("families")).where(F.size("families") >= 2)
+    named = whole.groupBy("families").agg(F.min(F.struct("f", "g")).alias("_by")).select("families", "_by.f", "_by.g")
+    held = pairs.select("book", "f", "g").join(small(written(named)), ["f", "g"])
+    return held.groupBy("f", "g").agg(F.array_sort(F.collect_list("book")).alias("books"), F.first("families").alias("families")).select("books", "families")
 
 
 def strength_level(books: Column, defining: Column) -> Column:

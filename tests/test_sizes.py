@@ -44,3 +44,22 @@ def test_owned_editions_of_a_large_work(spark):
                 want[isbn] = min([min(others), *([want[isbn]] if isbn in want else [])])
     assert {r.isbn: r.owned_isbn for r in found} == want and len(found) == len(want)
     assert rows <= 2 * 2003
+
+
+def test_facets_of_many_books(spark):
+    """Whole lists of books are no key that rows are dealt by."""
+    rng, threshold = random.Random(3), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    for n, most in ((6, 4), (40, 3), (3000, 4)):
+        carriers = sorted({(f"f{rng.randrange(6)}", b) for b in range(n) for _ in range(rng.randrange(1, most + 1))} | {(f, b) for f in ("f7", "f8") for b in (0, 3)})
+        found, _, size = made(taste.derive_facets(spark.createDataFrame([*carriers, carriers[0]], "family string, book long")))
+        books = {f: frozenset(b for g, b in carriers if g == f) for f, _ in carriers}
+        sets = {s for s in [*books.values(), *(x & y for x, y in itertools.combinations(books.values(), 2))] if len(s) >= 2}
+        whole = {s: frozenset(f for f, b in books.items() if s <= b) for s in sets}
+        valid = {(s, f) for s, f in whole.items() if len(f) >= 2}
+        want = {(s, f) for s, f in valid if not any(s <= t and f <= g and (s, f) != (t, g) for t, g in valid)}
+        assert {(frozenset(r.books), frozenset(r.families)) for r in found} == want and len(found) == len(want)
+        assert all(r.books == sorted(r.books) and r.families == sorted(r.families) for r in found)
+    spark.conf.set(threshold, before)
+    assert size < 2_000_000
