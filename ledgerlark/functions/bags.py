@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.eligibility import small
+
 # Fixed values.
 DETAIL_KEYS = ("tier", "sources", "note", "restrict", "known_missing", "reasons", "removed", "series", "series_ended", "name")
 TIERS = ("core", "extended")
@@ -50,19 +52,29 @@ def answers(rows: DataFrame, vocabulary: DataFrame, text_col: str = "answer", *,
     """(subject, known, traits, violations): a model's answers, with every rule that they break.
 
     vocabulary (term, dimension, is_pattern) is a closed list and is joined term by term. A term outside it is named and left out;
-    other faults are named only. Order within violations is the alphabet's."""
+    other faults are named only. Order within violations is the alphabet's. Answers are judged each for itself, also several of one subject.
+    The list is sent to all executors if it is small; answers are dealt once, and their items stay together."""
     first = F.regexp_extract(text_col, r"(?s)(\{.*\})", 1)
-    parsed = rows.select("subject", F.from_json(first, ANSWER).alias("a"))
+    keyed = rows.select("subject", text_col, F.sha2(text_col, 256).alias("digest"))
+    # Reading costs more than bytes tell, so rows are dealt before it; items of an answer then meet without another shuffle.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parsed = keyed.repartition(parts, "subject", "digest").select("subject", "digest", F.from_json(first, ANSWER).alias("a"))
     listed = F.concat(
         F.transform(F.coalesce("a.merkmale", F.array().cast("array<struct<id:string,satz:string,beleg:string,gewicht:string>>")), lambda t: F.struct(t["id"].alias("term"), t["satz"].alias("sentence"), t["beleg"].alias("evidence"), t["gewicht"].alias("word"), F.lit(False).alias("as_pattern"))),
         F.transform(F.coalesce("a.erzaehlmuster", F.array().cast("array<struct<id:string,satz:string,beleg:string>>")), lambda t: F.struct(t["id"].alias("term"), t["satz"].alias("sentence"), t["beleg"].alias("evidence"), F.lit(None).cast("string").alias("word"), F.lit(True).alias("as_pattern"))),
     )
-    items = parsed.where("a.bekannt").select("subject", F.posexplode(listed).alias("pos", "t")).select("subject", "pos", "t.*").join(vocabulary, "term", "left")
-    firsts = items.groupBy("subject", "term").agg(F.min("pos").alias("first"))
-    items = items.join(firsts, ["subject", "term"], "left")
+    known = F.coalesce("a.bekannt", F.lit(False))
+    some = (F.size(F.coalesce("a.merkmale", F.array())) > 0) | (F.size(F.coalesce("a.erzaehlmuster", F.array())) > 0)
+    of_text = F.array_compact(F.array(
+        F.when(F.coalesce(F.trim("a.pitch"), F.lit("")) == "", "no pitch").when(F.length(F.trim("a.pitch")) > pitch_max, "the pitch is too long"),
+        F.when(~F.col("a.form").isin(*FORMS), "unknown form"),
+    ))
+    read = parsed.select("subject", "digest", known.alias("known"), F.coalesce(some, F.lit(False)).alias("some"), F.when(known, of_text).alias("of_text"), F.when(known, listed).alias("listed"))
+    each = read.select("subject", "digest", "known", "some", "of_text", F.transform("listed", lambda t: t["term"]).alias("terms"), F.posexplode_outer("listed").alias("pos", "t"))
+    items = each.select("subject", "digest", "known", "some", "of_text", "pos", "t.*", (F.array_position("terms", F.col("t.term")) == F.col("pos") + 1).alias("first")).join(small(vocabulary), "term", "left")
     words = F.create_map(*(F.lit(x) for pair in WEIGHT_WORDS.items() for x in pair))
     inside = F.col("dimension").isNotNull()
-    kept = inside & (F.col("pos") == F.col("first"))
+    kept = inside & F.col("first")
     fault = F.array_compact(F.array(
         F.when(~inside, F.concat(F.lit("not in the vocabulary: "), F.coalesce("term", F.lit("(empty)")))),
         F.when(inside & ~kept, F.concat(F.lit("twice: "), "term")),
@@ -70,27 +82,27 @@ def answers(rows: DataFrame, vocabulary: DataFrame, text_col: str = "answer", *,
         F.when(kept & ~F.coalesce(F.col("evidence").isin(*evidence), F.lit(False)), F.concat(F.lit("no valid evidence: "), "term")),
         F.when(kept & ~F.col("is_pattern") & F.try_element_at(words, F.coalesce("word", F.lit(""))).isNull(), F.concat(F.lit("no valid weight: "), "term")),
     ))
-    items = items.withColumns({"kept": kept, "fault": fault, "weight": F.try_element_at(words, F.coalesce("word", F.lit("")))})
-    plain, pattern = F.col("kept") & ~F.col("is_pattern"), F.col("kept") & F.col("is_pattern")
-    per_dimension = items.where(plain).groupBy("subject", "dimension").agg(F.count("*").alias("n")).groupBy("subject").agg(F.count("*").alias("dimensions"), F.max("n").alias("most"))
-    total = items.groupBy("subject").agg(
-        F.flatten(F.collect_list("fault")).alias("faults"), F.count_if(plain).alias("plain"), F.count_if(pattern).alias("patterns"),
-        F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("pos", "term", "sentence", "evidence", "weight")))).alias("traits"),
-    ).join(per_dimension, "subject", "left")
-    out = parsed.join(total, "subject", "left")
-    n = lambda c: F.coalesce(c, F.lit(0))
+    weight = F.try_element_at(words, F.coalesce("word", F.lit("")))
+    item = F.struct("pos", "term", "sentence", "evidence", weight.alias("weight"), F.coalesce(kept, F.lit(False)).alias("kept"), "is_pattern", "dimension", fault.alias("fault"))
+    starts = F.coalesce("pos", F.lit(0)) == 0
+    out = items.groupBy("subject", "digest", "known").agg(
+        F.count_if(starts).alias("times"), F.first("some").alias("some"), F.first("of_text").alias("of_text"), F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), item))).alias("items")
+    )
+    out = out.withColumn("plain", F.transform(F.filter("items", lambda t: t["kept"] & ~t["is_pattern"]), lambda t: t["dimension"]))
+    dimensions = F.array_distinct("plain")
+    most = F.array_max(F.transform(dimensions, lambda d: F.size(F.filter("plain", lambda x: x == d))))
+    plain, patterns = F.size("plain"), F.size(F.filter("items", lambda t: t["kept"] & t["is_pattern"]))
     whole = F.array_compact(F.array(
-        F.when(~n("plain").between(4, 8), F.concat(n("plain"), F.lit(" traits, four to eight are asked for"))),
-        F.when(~n("patterns").between(1, 3), F.concat(n("patterns"), F.lit(" patterns, one to three are asked for"))),
-        F.when((n("plain") > 0) & (n("dimensions") < 3), "fewer than three dimensions"),
-        F.when(n("most") > 3, "more than three of one dimension"),
-        F.when(F.coalesce(F.trim("a.pitch"), F.lit("")) == "", "no pitch").when(F.length(F.trim("a.pitch")) > pitch_max, "the pitch is too long"),
-        F.when(~F.col("a.form").isin(*FORMS), "unknown form"),
+        F.when(~plain.between(4, 8), F.concat(plain, F.lit(" traits, four to eight are asked for"))),
+        F.when(~patterns.between(1, 3), F.concat(patterns, F.lit(" patterns, one to three are asked for"))),
+        F.when((plain > 0) & (F.size(dimensions) < 3), "fewer than three dimensions"),
+        F.when(most > 3, "more than three of one dimension"),
     ))
-    some = (F.size(F.coalesce("a.merkmale", F.array())) > 0) | (F.size(F.coalesce("a.erzaehlmuster", F.array())) > 0)
-    known = F.coalesce("a.bekannt", F.lit(False))
-    violations = F.when(known, F.array_sort(F.concat(F.coalesce("faults", F.array().cast("array<string>")), whole))).when(F.coalesce(some, F.lit(False)), F.array(F.lit("unknown, but with traits"))).otherwise(F.array().cast("array<string>"))
-    return out.select("subject", known.alias("known"), F.when(known, F.col("traits")).alias("traits"), violations.alias("violations"))
+    faults = F.array_sort(F.concat(F.flatten(F.transform("items", lambda t: t["fault"])), whole, "of_text"))
+    violations = F.when(F.col("known"), faults).when(F.col("some"), F.array(F.lit("unknown, but with traits"))).otherwise(F.array().cast("array<string>"))
+    traits = F.transform(F.filter("items", lambda t: t["kept"]), lambda t: F.struct(*(t[x].alias(x) for x in ("pos", "term", "sentence", "evidence", "weight"))))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), "times"))
+    return out.select("subject", "known", F.when(F.col("known"), traits).alias("traits"), violations.alias("violations"), again.alias("_")).drop("_")
 
 
 def merged(old: Column, new: Column, dropped: Column) -> Column:

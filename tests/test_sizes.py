@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ledgerlark.functions import bags
 from ledgerlark.operators import catalog, matching, taste, watching
 
 BOOK = "id long, title string, author string, year int, identifier string"
@@ -118,3 +119,15 @@ def test_matches_of_equal_rows(spark):
         assert {r.qid: r for r in found} == {r.qid: r for r in want.collect()}
         assert len(found) == n and {r.confidence for r in found} >= {"no_match", "provisional"}
     assert rows <= 4 * n
+
+
+def test_answers_are_dealt_by_row_not_by_term(spark):
+    """Several answers of one subject are judged apart, equal ones each keep a row, and few terms make no large task."""
+    trait = '{"id":"%s","satz":"s","beleg":"text","gewicht":"deutlich"}'
+    answer = lambda *ids: '{"bekannt":true,"pitch":"p","form":"roman","merkmale":[' + ",".join(trait % i for i in ids) + '],"erzaehlmuster":[{"id":"p1","satz":"s","beleg":"wissen"}]}'
+    good, short = answer("t1", "t2", "t3", "t4"), answer("t1", "t1", "t2")
+    vocabulary = spark.createDataFrame([(f"t{i}", f"d{i % 3}", False) for i in range(1, 7)] + [("p1", "m", True)], "term string, dimension string, is_pattern boolean")
+    rows = spark.createDataFrame([(1, good), (1, short), (2, good), (2, good), (3, None), (4, "{broken")], "subject long, answer string")
+    found, _, _ = made(bags.answers(rows, vocabulary))
+    few = ["2 traits, four to eight are asked for", "fewer than three dimensions", "twice: t1"]
+    assert sorted((r.subject, r.known, r.violations) for r in found) == [(1, True, []), (1, True, few), (2, True, []), (2, True, []), (3, False, []), (4, False, [])]
