@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import text as T
 from ledgerlark.operators import catalog, journal
 from ledgerlark.operators.diff import is_short_story, junk_reason, known, worth_announcing
-from ledgerlark.settings import BROADCAST_ROWS, Settings
+from ledgerlark.settings import BROADCAST_ROWS, ROWS_A_TASK, Settings
 
 
 def subject() -> Column:
@@ -130,5 +130,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def dealt(rows: DataFrame, *keys: str, each: int = ROWS_A_TASK) -> DataFrame:
+    """rows dealt by keys over so many partitions that one holds about ``each`` of them, whatever the table's size; groups and joins by
+    these keys need no further shuffle. The count is one more pass, over plain tables of their footers only."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // each)), *keys)
+
+
 def latest_fresh(obs: DataFrame, libraries: tuple[str, ...], now: Column, settings: Settings) -> DataFrame:
     return journal.fresh(journal.latest_discoveries(obs), libraries, now, settings.fresh_days)

@@ -59,7 +59,7 @@ def _effects(terms: DataFrame, form: DataFrame, vocabulary: DataFrame) -> DataFr
     """(subject, term, w, family, is_pattern, known, v): v is the term's value, else its family's."""
     by_term = form.where("kind = 'term'").select(F.col("key").alias("term"), F.col("value").alias("tv"))
     by_family = form.where("kind = 'family'").select("family", F.col("value").alias("fv"), F.lit(True).alias("known"))
-    rows = terms.join(vocabulary, "term").join(by_term, "term", "left").join(by_family, "family", "left")
+    rows = terms.join(small(vocabulary), "term").join(small(by_term), "term", "left").join(small(by_family), "family", "left")
     return rows.select("subject", "term", "w", "family", "is_pattern", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("tv", "fv", F.lit(0.0)).alias("v"))
 
 
@@ -70,6 +70,8 @@ def overlap(terms: DataFrame, form: DataFrame, vocabulary: DataFrame, weights: W
     rules (subject, rule, family) are genre rules whose genre the subject has, and lower the share if it carries all their families.
     A form with no liked family other than patterns knows too little: the result is then empty.
     """
+    # Form and vocabulary have few keys and terms are many: sent where small, as a shuffle by term would make tasks of whole terms.
+    form = written(form)
     patterns = vocabulary.where("is_pattern").select("family").distinct()
     knows = form.where("kind = 'family' and value > 0").join(patterns, "family", "left_anti").limit(1).select(F.lit(1).alias("_"))
     rows = _effects(terms, form, vocabulary)
@@ -90,7 +92,7 @@ def overlap(terms: DataFrame, form: DataFrame, vocabulary: DataFrame, weights: W
     )
     if facets is not None:
         wanted = facets.groupBy("facet").agg(F.count_distinct("family").alias("wanted"))
-        hit = by_family.select("subject", "family").join(facets, "family").groupBy("subject", "facet").agg(F.count_distinct("family").alias("got")).join(wanted, "facet").where("got = wanted").select("subject").distinct().withColumn("facet", F.lit(True))
+        hit = by_family.select("subject", "family").join(small(facets), "family").groupBy("subject", "facet").agg(F.count_distinct("family").alias("got")).join(small(wanted), "facet").where("got = wanted").select("subject").distinct().withColumn("facet", F.lit(True))
         book = book.join(hit, "subject", "left")
     if liked_genre is not None:
         book = book.join(liked_genre.select("subject").distinct().withColumn("liked_genre", F.lit(True)), "subject", "left")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Largest dimension that a plan may send to every executor, in rows; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows that one task groups or joins at a time where partitions follow the table's size.
+ROWS_A_TASK = 250_000
 
 
 @dataclass(frozen=True)

@@ -6,8 +6,10 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import bags
-from ledgerlark.operators import catalog, matching, taste, watching
+from ledgerlark.operators import catalog, eligibility, matching, taste, watching
+from ledgerlark.plans import catalog_queries
 
+SF = "/root/testdata/sf0.001"
 BOOK = "id long, title string, author string, year int, identifier string"
 
 
@@ -131,3 +133,14 @@ def test_answers_are_dealt_by_row_not_by_term(spark):
     found, _, _ = made(bags.answers(rows, vocabulary))
     few = ["2 traits, four to eight are asked for", "fewer than three dimensions", "twice: t1"]
     assert sorted((r.subject, r.known, r.violations) for r in found) == [(1, True, []), (1, True, few), (2, True, []), (2, True, []), (3, False, []), (4, False, [])]
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_rows_are_dealt_by_number(spark):
+    """Partitions follow the table's rows, and terms, families and forms, of which there are few, deal nothing."""
+    assert eligibility.dealt(spark.range(1000), "id", each=100).rdd.getNumPartitions() == 10
+    assert "hashpartitioning(term#" not in plan(catalog_queries.alg_overlap(spark, SF))
+    assert "hashpartitioning(term#" not in plan(catalog_queries.win_waterfall(spark, SF))
