@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.catalog import written
+from ledgerlark.operators.eligibility import small
+
 #: From this value on a family is named, for or against.
 NAMED_FROM = 0.3
 #: Kinds of a reader's own reasons: missing in the portrait, not true, only here.
@@ -66,7 +69,7 @@ def counterweights_met(rules: DataFrame, carried: DataFrame, books: DataFrame) -
     """(subject, rule) of rules (rule, families, genre) whose families the subject carries (subject, family) and whose genre it has
     (books: subject, ancestors, genre_text). Rules meet subjects by family, then the genre is tested: no pair without a shared family."""
     parts = rules.select("rule", F.col("genre").alias("rule_genre"), F.size(F.array_distinct("families")).alias("wanted"), F.explode(F.array_distinct("families")).alias("family"))
-    met = carried.select("subject", "family").distinct().join(parts, "family").groupBy("subject", "rule", "rule_genre", "wanted").agg(F.count("*").alias("got")).where("got = wanted")
+    met = carried.select("subject", "family").distinct().join(small(parts), "family").groupBy("subject", "rule", "rule_genre", "wanted").agg(F.count("*").alias("got")).where("got = wanted")
     return met.join(books, "subject").where(genre_met(F.col("rule_genre"), F.col("ancestors"), F.col("genre_text"))).select("subject", "rule")
 
 
@@ -77,9 +80,10 @@ def reasons(named: DataFrame, sentences: DataFrame, families: DataFrame, facets:
     each; families (family, name, is_pattern, boosted); facets (facet, families); met (subject, rule, families, genre): counterweights.
     Liked families of a facet that is met have no line of their own; boosted ones come first, patterns last, then the stronger, then by id.
     """
+    families = small(families)
     carried = named.join(families, "family", "left").withColumns({"name": F.coalesce("name", "family"), "is_pattern": F.coalesce("is_pattern", F.lit(False)), "boosted": F.coalesce("boosted", F.lit(False))})
     parts = facets.select("facet", F.size("families").alias("wanted"), F.posexplode("families").alias("at", "family"))
-    hits = carried.join(parts, "family").groupBy("subject", "facet", "wanted").agg(F.array_sort(F.collect_list(F.struct("at", "family", "name"))).alias("parts")).where(F.size("parts") == F.col("wanted"))
+    hits = carried.join(small(parts), "family").groupBy("subject", "facet", "wanted").agg(F.array_sort(F.collect_list(F.struct("at", "family", "name"))).alias("parts")).where(F.size("parts") == F.col("wanted"))
     in_hits = hits.select("subject", F.explode("parts").alias("p")).select("subject", "p.family").distinct()
     liked = carried.where(F.col("value") >= NAMED_FROM).join(in_hits, ["subject", "family"], "left_anti")
     against = carried.where(F.col("value") <= -NAMED_FROM)
@@ -94,10 +98,12 @@ def reasons(named: DataFrame, sentences: DataFrame, families: DataFrame, facets:
     lines = lines.unionByName(line(liked, 1, [(~F.col("boosted")).cast("int"), F.col("is_pattern").cast("int"), -F.col("value")], F.when(F.col("is_pattern"), "pattern").otherwise("trait"), F.col("name"), F.col("boosted"), F.array("family")))
     lines = lines.unionByName(line(against, 3, [F.col("value")], F.lit("against"), F.col("name"), no, F.array("family")))
     if met is not None:
-        names = families.select("family", "name")
+        names = small(families.select("family", "name"))
         rule = met.select("subject", "rule", "genre", F.posexplode("families").alias("at", "family")).join(names, "family", "left").groupBy("subject", "rule", "genre").agg(F.array_sort(F.collect_list(F.struct("at", "family", F.coalesce("name", "family").alias("name")))).alias("parts"))
         where = F.when(F.col("genre").isNotNull(), F.concat(F.lit(" ("), "genre", F.lit(")"))).otherwise("")
         lines = lines.unionByName(line(rule, 4, [F.col("rule")], F.lit("against"), F.concat(F.array_join(F.transform("parts", lambda p: p["name"]), " · "), where), no, F.transform("parts", lambda p: p["family"])))
+    # Written, as all that follows would work the lines out again.
+    lines = written(lines)
     said = lines.where("section <= 1").select("subject").distinct()
     nothing = named.select("subject").distinct().join(said, "subject", "left_anti")
     lines = lines.unionByName(line(nothing, 2, [], F.lit("none"), F.lit("nothing liked is met"), no, F.array().cast("array<string>")))

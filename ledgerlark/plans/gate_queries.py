@@ -139,13 +139,13 @@ _REASONS = f"""WITH {_CARRIED}, n AS (SELECT c.*, CASE WHEN family = 'f8' THEN '
 
 @query(_REASONS)
 def alg_reasons(spark, sf):
-    lines = table(spark, sf, "lineitem").withColumn("family", F.concat(F.lit("f"), F.col("l_suppkey") % 9))
+    lines = eligibility.dealt(table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus"), "l_orderkey").withColumn("family", F.concat(F.lit("f"), F.col("l_suppkey") % 9))
     carried = lines.groupBy(F.col("l_orderkey").alias("subject"), "family").agg(F.max((F.col("l_suppkey") % 9 - 4) / 4.0).alias("value"), F.min(F.concat("l_returnflag", "l_linestatus")).alias("sentence"))
     families = spark.createDataFrame(_FAMILIES, "family string, name string, is_pattern boolean, boosted boolean").distinct()
     facets = spark.createDataFrame([(1, ["f5", "f8"])], "facet int, families array<string>")
     rules = spark.createDataFrame([(1, ["f2", "f3"], None)], "rule int, families array<string>, genre string")
     books = carried.select("subject").distinct().select("subject", F.array().cast("array<string>").alias("ancestors"), F.lit("").alias("genre_text"))
-    met = reasons.counterweights_met(rules, carried, books).join(rules.drop("genre"), "rule").withColumn("genre", F.lit("R1"))
+    met = reasons.counterweights_met(rules, carried, books).join(eligibility.small(rules.drop("genre")), "rule").withColumn("genre", F.lit("R1"))
     rows = reasons.reasons(carried.drop("sentence"), carried.select("subject", "family", "sentence"), families, facets, met)
     return rows.select("subject", "position", "kind", reasons.reason_line(F.col("kind"), F.col("text"), F.col("boosted")).alias("line"))
 

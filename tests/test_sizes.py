@@ -2,12 +2,13 @@
 
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import bags
 from ledgerlark.operators import catalog, eligibility, matching, taste, watching
-from ledgerlark.plans import catalog_queries
+from ledgerlark.plans import catalog_queries, gate_queries
 
 SF = "/root/testdata/sf0.001"
 BOOK = "id long, title string, author string, year int, identifier string"
@@ -144,3 +145,7 @@ def test_rows_are_dealt_by_number(spark):
     assert eligibility.dealt(spark.range(1000), "id", each=100).rdd.getNumPartitions() == 10
     assert "hashpartitioning(term#" not in plan(catalog_queries.alg_overlap(spark, SF))
     assert "hashpartitioning(term#" not in plan(catalog_queries.win_waterfall(spark, SF))
+
+
+def test_few_families_deal_nothing(spark):
+    assert not re.search(r"hashpartitioning\(family#\d+, \d+\)", plan(gate_queries.alg_reasons(spark, SF)))
