@@ -252,9 +252,13 @@ def str_display_author(spark, sf):
 
 @query("SELECT a.c_custkey, b.s_suppkey FROM customer a JOIN supplier b ON a.c_nationkey = b.s_nationkey WHERE lower(a.c_mktsegment) = 'building' AND (b.s_acctbal < 0 OR b.s_suppkey % 2 = 0)")
 def str_names_match(spark, sf):
-    entries = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.concat(F.lit(" "), "c_mktsegment").alias("title"))
+    # Nations are few and their pairs many, so each nation's customers are dealt over many tasks, and its suppliers go to all of them.
+    slots = 64
+    entries = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.concat(F.lit(" "), "c_mktsegment").alias("title"), F.pmod(F.xxhash64("c_custkey"), F.lit(slots)).cast("int").alias("slot"))
     books = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), F.when(F.col("s_acctbal") >= 0, "Ann Lee").alias("wanted"), F.when(F.col("s_suppkey") % 2 == 0, "ann lee ").otherwise("Bo").alias("author"))
-    return entries.join(books, "c_nationkey").where(T.names_book(F.lit("Building"), F.col("wanted"), F.col("title"), F.col("author"))).select("c_custkey", "s_suppkey")
+    books = books.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    dealt = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_nationkey", "slot")
+    return dealt.join(books.hint("merge"), ["c_nationkey", "slot"]).where(T.names_book(F.lit("Building"), F.col("wanted"), F.col("title"), F.col("author"))).select("c_custkey", "s_suppkey")
 
 
 @query("SELECT id, lower(concat_ws(' ', title, author, series)) AS haystack FROM obs", "obs")

@@ -149,3 +149,8 @@ def test_rows_are_dealt_by_number(spark):
 
 def test_few_families_deal_nothing(spark):
     assert not re.search(r"hashpartitioning\(family#\d+, \d+\)", plan(gate_queries.alg_reasons(spark, SF)))
+
+
+def test_pairs_of_a_nation_are_dealt_over_slots(spark):
+    dealt = [line for line in plan(gate_queries.str_names_match(spark, SF)).splitlines() if "hashpartitioning(c_nationkey#" in line]
+    assert dealt and all("slot#" in line for line in dealt)
