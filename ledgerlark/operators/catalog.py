@@ -164,15 +164,20 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, component) of edges (a, b): labels are the least node, each round taken from neighbours and then from the label's own label."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    while True:
-        seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
-        nearer = label.join(seen, "node").select("node", F.least("component", "_near").alias("_up"), F.col("component").alias("_old"))
-        jump = nearer.select(F.col("node").alias("_up"), F.col("_up").alias("_top"))
-        step = written(nearer.join(jump, "_up").select("node", F.least("_up", "_top").alias("component"), "_old"))
-        done = step.where("component <> _old").isEmpty()
-        label = step.select("node", "component")
-        if done:
-            return label
+    """(node, component) of edges (a, b), component the least node. Each round every node goes up to its least neighbour, if that is less, and
+    three steps further; edges between nodes that went to the same are gone, so rounds work on ever fewer nodes and edges."""
+    joined = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left, levels = written(edges.select(*joined(F.col("a"), F.col("b"))).where("a <> b").distinct()), []
+    while not left.isEmpty():
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        up = written(ends.groupBy("node").agg(F.min("near").alias("up")).select("node", F.least("node", "up").alias("up")))
+        for _ in range(2):
+            up = written(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("_top")), "up").select("node", F.col("_top").alias("up")))
+        levels.append(up)
+        ups = [up.select(F.col("node").alias(x), F.col("up").alias(f"_{x}")) for x in "ab"]
+        left = written(left.join(ups[0], "a").join(ups[1], "b").select(*joined(F.col("_a"), F.col("_b"))).where("a <> b").distinct())
+    label = levels.pop() if levels else edges.select(F.col("a").alias("node"), F.col("a").alias("up")).limit(0)
+    while levels:
+        above = label.select(F.col("node").alias("up"), F.col("up").alias("_top"))
+        label = written(levels.pop().join(above, "up", "left").select("node", F.coalesce("_top", "up").alias("up")))
+    return label.withColumnRenamed("up", "component")

@@ -154,3 +154,14 @@ def test_few_families_deal_nothing(spark):
 def test_pairs_of_a_nation_are_dealt_over_slots(spark):
     dealt = [line for line in plan(gate_queries.str_names_match(spark, SF)).splitlines() if "hashpartitioning(c_nationkey#" in line]
     assert dealt and all("slot#" in line for line in dealt)
+
+
+def test_components_of_paths_and_stars(spark):
+    """Long paths too: rounds grow with the logarithm of the nodes, not with the path."""
+    rng = random.Random(8)
+    order = rng.sample(range(1000), 60)
+    edges = [*zip(order, order[1:]), *((i, i + 1) for i in range(2000, 2050)), *((3000, 3000 + i) for i in range(50)), (7, 7), (5001, 5000), (5000, 5001)]
+    found = {r.node: r.component for r in catalog.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {**dict.fromkeys(order, min(order)), **dict.fromkeys(range(2000, 2051), 2000), **dict.fromkeys(range(3000, 3050), 3000), 5000: 5000, 5001: 5000}
+    assert found == want
+    assert catalog.connected(spark.createDataFrame([(1, 1)], "a long, b long")).isEmpty()
